@@ -33,6 +33,7 @@ untouched whatever their names. Ids are integers. Empty tables give empty result
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -251,7 +252,7 @@ def _ask_order(cuts: np.ndarray, min_words: int, top: bool):
                 if bit == "1":
                     total = h if total is None else total * power + np.roll(h, -done)
                     done += size
-                h, size, power = h * power + np.roll(h, -size), 2 * size, power * power
+                h, size, power = h * power + np.roll(h, -size), 2 * size, np.uint64(int(power) ** 2 % 2**64)
             whole = left >= min_words - 1
             ords = np.repeat(_arr(block["ords"][0], np.int64), lens)
             keys = np.repeat(np.frombuffer(block["keys"][0].as_py(), np.int64)[::2], lens)
@@ -515,9 +516,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     have = rows.where("key is not null").withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) | (_n_words(F.col("t")) < min_words)).join(cuts, "key", "left")
 
     @F.pandas_udf("string")
-    def cut(t: "pd.Series", s: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def cut(t: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series(_cut_texts(t, s), dtype=object)
 
     changed = have.where("cuts is not null").withColumn("new", cut("t", "cuts")).where(F.trim("new") != "")
