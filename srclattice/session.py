@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -34,3 +35,15 @@ def ship(spark: SparkSession) -> SparkSession:
         atexit.register(lambda: os.path.exists(path) and os.remove(path))
         spark.sparkContext.addPyFile(path)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="srclattice-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
