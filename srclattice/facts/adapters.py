@@ -76,3 +76,18 @@ annotations as (select distinct {_P('l_partkey')} as class, sname as method, cas
   from items join orders on l_orderkey = o_orderkey where l_suppkey % 3 = 0 union all select {_P('p_partkey')}, null, 'Service', '' from part where p_size % 5 = 0),
 imports as (select distinct caller_class as class, qualified as import from edges join types on types.name = callee_class where caller_class <> callee_class)
 """
+
+
+def java_sources(spark: SparkSession, sf_dir: str):
+    """(path, content): a Java source for each part, whose contents follow from the part's columns."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"), F.lower(F.replace("p_type", F.lit(" "), F.lit(""))).alias("t"))
+    k, z = F.col("k").cast("string"), F.col("z")
+    when = lambda c, s: F.when(c, s).otherwise(F.lit(""))
+    up = F.concat(F.lit(" extends P"), F.floor(F.col("k") / 10).cast("string"))
+    text = F.concat(
+        F.lit("package a."), "t", F.lit(";\n// class Hidden { }\n@Service\npublic class P"), k, when(F.col("k") > 0, up), F.lit(" implements Runnable {\n  private P"), F.floor(F.col("k") / 10).cast("string"), F.lit(" up;\n"),
+        F.lit("  public P"), F.floor(F.col("k") / 10).cast("string"), F.lit(" parent() { return up; }\n  @Override public void run() { String s = \"class X {\"; up.parent().run(); go("), z.cast("string"), F.lit("); }\n"),
+        F.lit("  void go(int n) {\n    try { up.run(); } catch (Exception e) {"), when(z % 3 == 0, F.lit(" return; ")), when(z % 3 == 1, F.lit(" throw e; ")), F.lit("}\n"),
+        when(z % 4 == 0, F.lit("    switch (n) { case 1: break; }\n")), when(z % 5 == 0, F.lit("    if (n > 1) { }\n")), F.lit("  }\n}\n"),
+    )
+    return p.select(F.concat(F.lit("src/P"), k, F.lit(".java")).alias("path"), text.alias("content"))

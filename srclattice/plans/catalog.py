@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..facts.adapters import FACTS_SQL, from_tables
+from ..facts import build as B
+from ..facts.adapters import FACTS_SQL, from_tables, java_sources
 from ..functions import names as N
 from ..operators import graph as G
 from ..operators import navigate as V
@@ -43,6 +44,13 @@ def _asked(f):
     return f.methods.select("class", "name").distinct().unionByName(f.types.select(F.col("name").alias("class"), F.lit("getS1x").alias("name")))
 
 
+def _parsed(spark, sf_dir):
+    return B.parsed(java_sources(spark, sf_dir))
+
+
+_JAVA = "j as (select p_partkey k, p_size z, 'P' || p_partkey c, 'P' || cast(floor(p_partkey / 10) as bigint) u, 'a.' || lower(replace(p_type, ' ', '')) t from part)"
+
+
 #: name: (query of (facts, spark, sf_dir), SQL after the facts)
 CATALOG = {
     "overview": (lambda f, s, d: V.overview(f), "select (select count(distinct path) from types)::bigint files, (select count(*) from types where not is_interface)::bigint classes, (select count(*) from types where is_interface)::bigint interfaces, (select count(distinct package) from types)::bigint packages, (select count(*) from methods)::bigint methods"),
@@ -139,6 +147,13 @@ CATALOG = {
         select path, count(*)::bigint commits, string_agg(distinct author, ',' order by author) authors, max(day) as last, string_agg(case when r <= 5 then subject end, ',' order by r) subjects from r group by 1"""),
     "resolve_receiver": (lambda f, s, d: R.resolve(f, f.fields.select("class", F.col("name").alias("var")).withColumn("name", F.lit("setS1")).unionByName(f.types.select(F.col("name").alias("class"), F.lit("this").alias("var"), F.lit("setS1").alias("name")))), """a as (select class, name as var, 'setS1' as name from fields union all select name, 'this', 'setS1' from types), fl as (select class, name as var, min(type) as type from fields group by 1, 2), m as (select class as owner, name, min(signature) signature, min(return_type) return_type from methods group by 1, 2), x as (select a.class, a.var, a.name, case when a.var = 'this' then a.class else type end as owner from a left join fl on fl.class = a.class and fl.var = a.var)
         select x.class, x.var, x.name, x.owner, signature, return_type from x left join m on m.owner = x.owner and m.name = x.name"""),
+    "parsed_types": (lambda f, s, d: B.facts(_parsed(s, d)).types.select("qualified", "kind", "super_class", "path", "start_line", "end_line"), f"{_JAVA} select t || '.' || c as qualified, 'class' kind, case when k > 0 then u else '' end super_class, 'src/' || c || '.java' as path, 4 as start_line, 11 + (z % 4 = 0)::int + (z % 5 = 0)::int as end_line from j"),
+    "parsed_methods": (lambda f, s, d: B.facts(_parsed(s, d)).methods.drop("path"), f"""{_JAVA} select c as class, 'parent' as name, 0 as params, u as return_type, 'public ' || u || ' parent()' as signature, true as is_public, 6 as start_line, 6 as end_line from j union all select c, 'run', 0, 'void', 'public void run()', true, 7, 7 from j union all select c, 'go', 1, 'void', 'void go(int n)', false, 8, 10 + (z % 4 = 0)::int + (z % 5 = 0)::int from j"""),
+    "parsed_edges": (lambda f, s, d: B.facts(_parsed(s, d)).edges.where("callee not in ('parent', 'go')").select("caller_class", "caller", "callee_class", "callee", "callee_params", "line"), f"""{_JAVA} select c as caller_class, 'run' as caller, v.u as callee_class, 'run' as callee, 0 as callee_params, 7 as line from j join (select c pc, u from j) v on v.pc = j.u union all select c, 'go', u, 'run', 0, 9 from j"""),
+    "smells": (lambda f, s, d: B.smells(_parsed(s, d)).select("class", "method", "rule", "severity", "line"), f"""{_JAVA}, a as (select * from j), b as (select c as class, 'go' as method, 'CATCH_GENERIC_EXCEPTION' as rule, 'WARNING' severity, 9 as line from a union all select c, 'go', 'EMPTY_CATCH_BLOCK', 'WARNING', 9 from a where z % 3 = 2 union all select c, 'go', 'SILENT_CATCH_RETURN', 'INFO', 9 from a where z % 3 = 0 union all select c, 'run', 'MAGIC_NUMBER', 'INFO', 7 from a where z not in (0, 1) union all select c, 'go', 'SWITCH_WITHOUT_DEFAULT', 'WARNING', 10 from a where z % 4 = 0 union all select c, 'go', 'EMPTY_IF_BODY', 'WARNING', 10 + (z % 4 = 0)::int from a where z % 5 = 0
+        union all select c, 'go', 'UNUSED_PARAMETER', 'INFO', 8 from a where z % 4 <> 0 and z % 5 <> 0) select * from b"""),
+    "smells_by_rule": (lambda f, s, d: B.smells(_parsed(s, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("class").alias("classes")), f"""{_JAVA}, r as (select 'CATCH_GENERIC_EXCEPTION' as rule, 'WARNING' severity from j union all select 'EMPTY_CATCH_BLOCK', 'WARNING' from j where z % 3 = 2 union all select 'SILENT_CATCH_RETURN', 'INFO' from j where z % 3 = 0 union all select 'MAGIC_NUMBER', 'INFO' from j where z not in (0, 1) union all select 'SWITCH_WITHOUT_DEFAULT', 'WARNING' from j where z % 4 = 0 union all select 'EMPTY_IF_BODY', 'WARNING' from j where z % 5 = 0 union all select 'UNUSED_PARAMETER', 'INFO' from j where z % 4 <> 0 and z % 5 <> 0)
+        select rule, severity, count(*)::bigint n, count(*)::bigint classes from r group by all"""),
     "display_names": (lambda f, s, d: f.methods.select("class", "name", N.display("class", "name", "params").alias("shown"), N.abbreviated(F.concat_ws(".", F.lit("com.acme"), F.lower("return_type"))).alias("short")), """select class, name, class || '.' || name || case when params <= 0 then '()' when params = 1 then '(1 param)' else '(' || params || ' params)' end shown, 'c.a.' || lower(return_type) short from methods"""),
 }
 
