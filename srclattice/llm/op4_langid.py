@@ -88,22 +88,20 @@ def automaton(sample: bytes) -> tuple[list[dict], list[int]]:
 
 @lru_cache(8)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """The class of each byte; for each language its table of 2 * next state + (a phrase ends here); log2 of the samples."""
+    """The class of each byte; for each language its table of 4 * next state + (phrases that end here); log2 of the samples."""
     used = sorted({c for _, s in samples for c in s})
     cls = np.zeros(256, np.int64)
     cls[used] = np.arange(1, len(used) + 1)
     tables = []
     for _, s in samples:
         nxt, _ = automaton(s)
-        root = np.ones(len(used) + 1, np.int32)  # an unknown letter: back at the root, and a phrase
+        t = np.full((len(nxt), len(used) + 1), 2, np.int32)  # an unknown letter: it ends a phrase, and is one
+        t[0] = 1
         for c, q in nxt[0].items():
-            root[cls[c]] = 2 * q + 1
-        t = np.repeat(root[None], len(nxt), 0)
+            t[1:, cls[c]], t[0, cls[c]] = 4 * q + 1, 4 * q
         for p, d in enumerate(nxt):
             if d:
-                t[p, cls[list(d)]] = 2 * np.fromiter(d.values(), np.int32, len(d))
-        # from the root the first phrase has not ended yet: what ends is the one before it
-        t[0] = np.where(root == 1, 1, root - 1)
+                t[p, cls[list(d)]] = 4 * np.fromiter(d.values(), np.int32, len(d))
         tables.append(t)
     return cls, tables, np.log2([max(2, len(s)) for _, s in samples])
 
@@ -129,8 +127,8 @@ def phrases(data: np.ndarray, sizes: np.ndarray, samples: tuple) -> np.ndarray:
         for j in range(int(length[0])):
             n = live[j]
             x = flat[state[:n] * width + codes[start[:n] + j]]
-            count[:n] += x & 1
-            state[:n] = x >> 1
+            count[:n] += x & 3
+            state[:n] = x >> 2
         out[:, k] = np.bincount(owner, count + (state > 0), len(sizes))
     return out
 
