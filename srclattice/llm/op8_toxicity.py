@@ -31,6 +31,7 @@ not read. An empty table gives an empty result; an empty lexicon finds nothing.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -161,19 +162,23 @@ def edits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: tuple
     return out, term
 
 
-def _quoted(data: np.ndarray, s: int, e: int) -> bool:
-    """A quotation mark directly before or after: " ' ` or a typographic one."""
+#: Signs beyond ASCII that are no letters; quotation marks among them become ", the others a space.
+_SIGNS = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u3003\u300a-\u300f]")
+_MARKS = set("\xab\xbb\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2039\u203a\u300a\u300b\u300c\u300d\u300e\u300f")
+
 
-    def mark(x: bytes) -> bool:
-        return x[-1:] in (b'"', b"'", b"`") or x[-3:] in ("“".encode(), "”".encode(), "„".encode(), "‘".encode(), "’".encode()) or x[-2:] in ("«".encode(), "»".encode())
+def _plain(text: str) -> str:
+    return text if text.isascii() else _SIGNS.sub(lambda m: '"' if m[0] in _MARKS else " ", text)
 
-    after = data[e : e + 3].tobytes()
-    return mark(data[max(0, s - 3) : s].tobytes()) or after[:1] in (b'"', b"'", b"`") or mark(after) and after[0] >= 0x80 or after[:2] in ("«".encode(), "»".encode())
+
+def _quoted(data: np.ndarray, s: int, e: int) -> bool:
+    """A quotation mark directly before or after."""
+    return bool(s and data[s - 1] in (34, 39, 96)) or bool(e < len(data) and data[e] in (34, 39, 96))
 
 
 def hits(texts: list[str], lexicon: tuple[str, ...]) -> list[list[tuple]]:
     """(place, term, misspelled, factor, word) of each hit of each text; factor comes from its context."""
-    data, starts, ends, first = word_spans(texts, TOKEN)
+    data, starts, ends, first = word_spans([_plain(t) for t in texts], TOKEN)
     found, term = edits(data, starts, ends, lexicon)
     at = np.flatnonzero(found < 9)
     out: list[list[tuple]] = [[] for _ in texts]
