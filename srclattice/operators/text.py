@@ -29,13 +29,16 @@ def search(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.withColumn("col", first).where("col is not null").withColumn("word", F.coalesce(*[F.when(a == F.col("col"), w) for a, w in zip(at, words)]))
 
 
+def _bare(line: Column) -> Column:
+    """Without what is in string literals."""
+    return F.regexp_replace(line, r'"(?:\\.|[^"\\])*"', '""')
+
+
 def in_comment(text: Column) -> Column:
     """Of each line of a file (an array) whether it begins in a block comment, by a fold over the lines."""
-    bare = lambda l: F.regexp_replace(l, r'"(?:\\.|[^"\\])*"', '""')
-
     def step(acc, line):
-        opens, closes = F.length(F.substring_index(bare(line), "/*", -1)), F.length(F.substring_index(bare(line), "*/", -1))
-        has_open, has_close = F.contains(bare(line), F.lit("/*")), F.contains(bare(line), F.lit("*/"))
+        opens, closes = F.length(F.substring_index(_bare(line), "/*", -1)), F.length(F.substring_index(_bare(line), "*/", -1))
+        has_open, has_close = F.contains(_bare(line), F.lit("/*")), F.contains(_bare(line), F.lit("*/"))
         after = F.when(has_open & (~has_close | (opens < closes)), True).when(has_close, False).otherwise(acc["open"])
         return F.struct(F.concat(acc["marks"], F.array(acc["open"])).alias("marks"), after.alias("open"))
 
@@ -48,8 +51,9 @@ def search_code(files: DataFrame, facts: Facts, pattern: str) -> DataFrame:
     arr = files.select("path", F.split(F.regexp_replace("content", "\r\n", "\n"), "\n").alias("ls"))
     marked = arr.select("path", F.posexplode(F.arrays_zip("ls", in_comment(F.col("ls")).alias("open"))).alias("i", "x")).select("path", (F.col("i") + 1).alias("line_no"), F.col("x.ls").alias("line"), F.col("x.open").alias("open"))
     hit = search(marked, pattern)
-    slash = F.instr("line", "//")
-    hit = hit.withColumn("in_comment", F.col("open") | F.ltrim("line").startswith("*") | ((slash > 0) & (slash < F.col("col"))) | ((F.instr("line", "/*") > 0) & (F.instr("line", "/*") < F.col("col"))))
+    before = _bare(F.substring("line", F.lit(1), F.col("col") - 1))
+    opened = F.contains(before, F.lit("/*")) & ~F.contains(F.substring_index(before, "/*", -1), F.lit("*/"))
+    hit = hit.withColumn("in_comment", opened | F.contains(before, F.lit("//")) | (F.col("open") & ~F.contains(before, F.lit("*/"))))
     t = facts.types.select("path", F.col("name").alias("class"), F.col("start_line").alias("ts"), F.col("end_line").alias("te"))
     m = facts.methods.select("path", F.col("name").alias("method"), F.col("start_line").alias("ms"), F.col("end_line").alias("me"))
     hit = hit.join(t, (hit.path == t.path) & F.col("line_no").between(F.col("ts"), F.col("te")), "left").drop(t.path)
