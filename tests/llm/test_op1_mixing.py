@@ -3,6 +3,8 @@ from fractions import Fraction
 from hashlib import md5
 from math import ceil, sqrt
 
+import pytest
+
 from srclattice.llm import op1_mixing as m
 
 
@@ -31,7 +33,9 @@ def brute(rows, seed=m.SEED):
     return {d: k for d, k in out.items() if k}
 
 
-def test_brute_force_and_fixed_size(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_brute_force_and_fixed_size(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", broadcast)
     rows = [(i, "x" * (i * 7 % 400 + 1), "hot" if i % 3 else f"s{i % 7}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r.copies for r in m.sample(df).collect()}
