@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .facts import build as B
 from .functions import render
 from .functions.names import parse_ref
+from .operators import documents as D
 from .operators import graph as G
 from .operators import navigate as V
 from .operators import rules as R
@@ -81,12 +82,22 @@ COMMANDS = {
     "breaking-changes": ("class", "who extends or implements", lambda f, c, a: V.named(G.breaking_changes(f), a)),
     "complexity": ("class", "per method", lambda f, c, a: V.named(V.method_complexity(f), a)),
     "complexity-all": ("", "the most complex methods", lambda f, c, a: V.complexity_top(f)),
+    "explain": ("class", "a type in a sentence", lambda f, c, a: D.explain(f).where(F.substring_index("qualified", ".", -1) == a.rsplit(".", 1)[-1])),
+    "context": ("class", "everything about a type", lambda f, c, a: D.context(f, B.smells(c["parsed"])).where((F.col("name") == a) | (F.col("qualified") == a))),
+    "contract": ("class", "the signatures of a type", lambda f, c, a: V.named(f.methods, a).select("name", "signature", "start_line")),
+    "read": ("class[.method]", "source lines", lambda f, c, a: D.read(f, c["files"], *a.split("#", 1))),
+    "checklist": ("method", "steps of a change", lambda f, c, a: D.checklist(f, _targets(f, a))),
+    "context-for": ("task", "which commands to run", lambda f, c, a: c["spark"].createDataFrame(D.plan(a) or [("", 0)], "command string, tokens int")),
+    "resolve": ("Class.var.method", "through a field to a method", lambda f, c, a: R.resolve(f, c["spark"].createDataFrame([tuple(a.split(".")[-3:])], "class string, var string, name string"))),
+    "drift": ("", "violations, and files that changed since the index", lambda f, c, a: R.constructor_injection(f).unionByName(R.internal_import(f)).unionByName(c["changes"].select(F.lit("changed").alias("rule"), F.col("path").alias("class"), F.col("change").alias("what")))),
+    "diff": ("", "files that changed since the index", lambda f, c, a: c["changes"]),
+    "snippet": ("suffix", "the class to imitate", lambda f, c, a: T.snippet_pick(f, a, a)),
     "changed": ("[ref]", "changed files", lambda f, c, a: S.git_changed(c["spark"], c["root"], a or "HEAD")),
     "diff-impact": ("[ref]", "what the changed files reach", lambda f, c, a: G.diff_impact(f, S.git_changed(c["spark"], c["root"], a or "HEAD"))),
     "history": ("file", "commits of a file", lambda f, c, a: R.history(S.git_log(c["spark"], c["root"], a))),
     "index": ("", "bring the index up to date", lambda f, c, a: c["changes"]),
 }
-PROBLEMS = {"verify", "check", "lint", "smells", "index"}
+PROBLEMS = {"verify", "check", "drift", "diff", "lint", "smells", "index"}
 
 
 def main(argv: list[str] | None = None) -> int:

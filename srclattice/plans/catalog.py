@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..facts import build as B
 from ..facts.adapters import FACTS_SQL, from_tables, java_sources
 from ..functions import names as N
+from ..operators import documents as D
 from ..operators import graph as G
 from ..operators import navigate as V
 from ..operators import rules as R
@@ -91,7 +92,7 @@ CATALOG = {
         union all select name, 'unimplemented' from types where is_interface and name not in (select interface from implements)"""),
     "related": (lambda f, s, d: G.related(f), f"""{_CALLS}, e as (select * from calls where caller_class <> callee_class), x as (select distinct class, type as other, 3 s from fields union all select * from (select caller_class, callee_class, 2 from (select distinct caller_class, callee_class, callee from e)) union all select * from (select callee_class, caller_class, 2 from (select distinct callee_class, caller_class, caller from e))),
         g as (select class, other, sum(s)::bigint score from x where class <> other group by 1, 2), r as (select *, row_number() over (partition by class order by score desc, other)::int rank from g) select class, other, score, rank from r where rank <= 15"""),
-    "impact": (lambda f, s, d: G.impact(f), f"""{_BACK}, r as (with recursive r(seed, node) as (select distinct class || '.' || name, class || '.' || name from methods union select seed, dst from r join back on src = node) select * from r),
+    "impact": (lambda f, s, d: G.impact(f, None, 1000), f"""{_BACK}, r as (with recursive r(seed, node) as (select distinct class || '.' || name, class || '.' || name from methods union select seed, dst from r join back on src = node) select * from r),
         t as (select seed, count(distinct split_part(node, '.', 1)) n from r where seed <> node group by 1), q as (select src, count(distinct split_part(dst, '.', 1)) n from back where src <> dst group by 1)
         select class || '.' || name as target, coalesce(q.n, 0)::bigint direct, coalesce(t.n, 0)::bigint transitive, case when coalesce(t.n, 0) = 0 then 'none' when t.n <= 3 then 'low' when t.n <= 10 then 'medium' else 'high' end risk from methods left join t on seed = class || '.' || name left join q on src = class || '.' || name"""),
     "call_chains": (lambda f, s, d: G.call_chains(f, f.methods, 6), f"""{_BACK}, p as (with recursive p(target, path, top) as (select distinct class || '.' || name, [class || '.' || name], class || '.' || name from methods union all select target, list_append(path, dst), dst from p join back on src = top and not list_contains(path, dst) where len(path) <= 6) select * from p)
@@ -147,6 +148,14 @@ CATALOG = {
         select path, count(*)::bigint commits, string_agg(distinct author, ',' order by author) authors, max(day) as last, string_agg(case when r <= 5 then subject end, ',' order by r) subjects from r group by 1"""),
     "resolve_receiver": (lambda f, s, d: R.resolve(f, f.fields.select("class", F.col("name").alias("var")).withColumn("name", F.lit("setS1")).unionByName(f.types.select(F.col("name").alias("class"), F.lit("this").alias("var"), F.lit("setS1").alias("name")))), """a as (select class, name as var, 'setS1' as name from fields union all select name, 'this', 'setS1' from types), fl as (select class, name as var, min(type) as type from fields group by 1, 2), m as (select class as owner, name, min(signature) signature, min(return_type) return_type from methods group by 1, 2), x as (select a.class, a.var, a.name, case when a.var = 'this' then a.class else type end as owner from a left join fl on fl.class = a.class and fl.var = a.var)
         select x.class, x.var, x.name, x.owner, signature, return_type from x left join m on m.owner = x.owner and m.name = x.name"""),
+    "explain": (lambda f, s, d: D.explain(f), """m as (select class c, count(*) n from methods group by 1), i as (select class c, string_agg(distinct interface, ', ' order by interface) x from implements group by 1), e as (select * from edges where caller_class <> callee_class), b as (select callee_class c, count(distinct caller_class) n from e group by 1), u as (select caller_class c, count(distinct callee_class) n from e group by 1)
+        select qualified, name || ' is ' || case when kind = 'interface' then 'an interface' when is_abstract then 'an abstract class' else 'a ' || kind end || ' in ' || package || ' with ' || coalesce(m.n, 0) || ' methods' || case when super_class <> '' then ', extends ' || super_class else '' end || coalesce(', implements ' || i.x, '') || '; uses ' || coalesce(u.n, 0) || ' types, used by ' || coalesce(b.n, 0) || '.' as text
+        from types t left join m on m.c = t.name left join i on i.c = t.name left join b on b.c = t.name left join u on u.c = t.name"""),
+    "context": (lambda f, s, d: D.context(f).select("qualified", F.size("methods").alias("methods"), F.size("fields").alias("fields"), F.size("imports").alias("imports"), F.array_join(F.flatten(F.transform("methods", lambda m: F.coalesce(m["callers"], F.array().cast("array<string>")))), ",").alias("callers")), """m as (select class, name, start_line, signature, (select string_agg(distinct caller_class || '.' || caller, ',' order by caller_class || '.' || caller) from edges where callee_class = class and callee = name) cs from methods), g as (select class, count(*)::int n, coalesce(string_agg(cs, ',' order by start_line, name, signature), '') cs from m group by 1), fl as (select class, count(*)::int n from fields group by 1), im as (select class, count(*)::int n from imports group by 1)
+        select qualified, g.n as methods, fl.n as fields, im.n as imports, g.cs as callers from types t left join g on g.class = t.name left join fl on fl.class = t.name left join im on im.class = t.name"""),
+    "checklist": (lambda f, s, d: D.checklist(f, f.methods), """t as (select distinct class, name from methods), c as (select distinct class, name, caller_class, caller from edges join t on callee_class = class and callee = name), n as (select *, count(*) over (partition by class, name) n from c),
+        s as (select class, name, 'change the method' as text, 0 o from t union all select class, name, 'check call in ' || caller_class || '.' || caller, 1 from n where n <= 10 union all select class, name, 'check ' || count(*) || ' calls in ' || caller_class, 1 from n where n > 10 group by class, name, caller_class union all select class, name, 'run the tests', 2 from t)
+        select class || '.' || name as target, row_number() over (partition by class, name order by o, text)::int as step, text from s"""),
     "parsed_types": (lambda f, s, d: B.facts(_parsed(s, d)).types.select("qualified", "kind", "super_class", "path", "start_line", "end_line"), f"{_JAVA} select t || '.' || c as qualified, 'class' kind, case when k > 0 then u else '' end super_class, 'src/' || c || '.java' as path, 4 as start_line, 11 + (z % 4 = 0)::int + (z % 5 = 0)::int as end_line from j"),
     "parsed_methods": (lambda f, s, d: B.facts(_parsed(s, d)).methods.drop("path"), f"""{_JAVA} select c as class, 'parent' as name, 0 as params, u as return_type, 'public ' || u || ' parent()' as signature, true as is_public, 6 as start_line, 6 as end_line from j union all select c, 'run', 0, 'void', 'public void run()', true, 7, 7 from j union all select c, 'go', 1, 'void', 'void go(int n)', false, 8, 10 + (z % 4 = 0)::int + (z % 5 = 0)::int from j"""),
     "parsed_edges": (lambda f, s, d: B.facts(_parsed(s, d)).edges.where("callee not in ('parent', 'go')").select("caller_class", "caller", "callee_class", "callee", "callee_params", "line"), f"""{_JAVA} select c as caller_class, 'run' as caller, v.u as callee_class, 'run' as callee, 0 as callee_params, 7 as line from j join (select c pc, u from j) v on v.pc = j.u union all select c, 'go', u, 'run', 0, 9 from j"""),
