@@ -147,11 +147,13 @@ def validate(f: Facts, asked: DataFrame, k: int = 5) -> DataFrame:
     d = F.levenshtein(a, b)
     score = F.greatest(F.when(F.col("name") == F.col("n2"), 100).otherwise(0), F.when(d <= 3, 80 - 10 * d).otherwise(0), F.when(a.startswith(b) | b.startswith(a), 60).otherwise(0), F.when(a.contains(b) | b.contains(a), 40).otherwise(0))
     names = known.select(F.col("name").alias("n2")).distinct()
-    near = there.where("not exists").select("class", "name").distinct().crossJoin(names).withColumn("score", score).where("score > 0")
-    near = near.join(known.toDF("c2", "n2"), "n2").withColumn("suggestion", F.concat_ws(".", "c2", "n2"))
-    order = Window.partitionBy("class", "name").orderBy(F.desc("score"), "suggestion")
-    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("class", "name", "rank", "suggestion", "score")
-    return there.join(near, ["class", "name"], "left")
+    near = there.where("not exists").select("name").distinct().crossJoin(names).withColumn("score", score).where("score > 0")
+    of_name = Window.partitionBy("n2").orderBy("c2")
+    few = known.toDF("c2", "n2").withColumn("r", F.row_number().over(of_name)).where(F.col("r") <= k)  # of one name no more can be among the best
+    near = near.join(few, "n2").withColumn("suggestion", F.concat_ws(".", "c2", "n2"))
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "suggestion")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("name", F.lit(False).alias("exists"), "rank", "suggestion", "score")
+    return there.join(near, ["name", "exists"], "left").select("class", "name", "exists", "rank", "suggestion", "score")
 
 
 def type_check(f: Facts, asked: DataFrame) -> DataFrame:
