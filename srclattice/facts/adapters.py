@@ -68,7 +68,7 @@ types as (select {_P('p_partkey')} as name, lower(p_type) || '.' || lower(replac
 items as (select *, {_VERB_SQL.format('l_suppkey')} || 'S' || l_suppkey as sname from lineitem),
 methods as (select {_P('l_partkey')} as class, sname as name, min(l_linenumber)::int params, case when l_suppkey % 6 = 1 then 'void' else {_P('l_suppkey')} end return_type,
   'public ' || case when l_suppkey % 6 = 1 then 'void' else {_P('l_suppkey')} end || ' ' || sname || '()' as signature, l_suppkey % 4 <> 0 as is_public, min(l_linenumber)::int * 3 as start_line, min(l_linenumber)::int * 3 + trunc(max(l_quantity))::int as end_line from items group by l_partkey, l_suppkey, sname),
-edges as (select distinct * from (select {_P('l_partkey')} as caller_class, sname as caller, {_P('lead(l_partkey) over w')} as callee_class, lead(sname) over w as callee, row_number() over w as line
+edges as (select distinct * from (select {_P('l_partkey')} as caller_class, sname as caller, {_P('lead(l_partkey) over w')} as callee_class, lead(sname) over w as callee, (row_number() over w)::int as line
   from items window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice)) where callee_class is not null),
 fields as (select distinct {_P('l_partkey')} as class, lower(n_name) as name, {_P('l_suppkey * 3')} as type from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
 implements as (select {_P('p_partkey')} as class, {_P('(p_partkey * 7) % 1000')} as interface from part where p_partkey <> (p_partkey * 7) % 1000),
