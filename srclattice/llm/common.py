@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -73,6 +74,46 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _frugal() -> None:
+    """Python workers live on between tasks: have freed arrays go back to the system at once, rather than into pools."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, where it would grow to 32 MB
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+_frugal()
+_held: list = []
+
+
+def _claim(forget) -> None:
+    if _held and _held[0] is not forget:
+        _held.pop()()
+    if forget is not None:
+        _held[:] = [forget]
+
+
+def tidied(run, forget=None):
+    """A function over batches that returns memory after its partition.
+
+    forget drops the model that the function keeps for its next partition; that happens when a
+    partition of another operator comes to the same worker, so it holds one model at a time.
+    """
+
+    def tidy_run(batches):
+        _claim(forget)
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+
+    return tidy_run
+
+
 def has_words(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 

@@ -36,10 +36,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, utf8, word_hashes
+from .common import ragged, slices, tidied, utf8, word_hashes
 
 VOCABULARY = os.environ.get("SRCLATTICE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
-CACHE = 1_000_000
+CACHE = 400_000
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _WIDE_SPACE = regex.compile(r"[\x85\xa0  -     　]")
 #: How a vocabulary of this kind cuts a text: contractions; letters, numbers or other signs, each with a space before; white space.
@@ -113,9 +113,8 @@ class Codec:
         ids, count = self._encode_pieces(pieces)
         base = len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
-        hashes, where, counts = np.concatenate([self.hashes, h]), np.concatenate([self.where, base + np.cumsum(count) - count]), np.concatenate([self.count, count])
-        order = np.argsort(hashes)
-        self.hashes, self.where, self.count = hashes[order], where[order], counts[order]
+        at = np.searchsorted(self.hashes, h)  # both are sorted
+        self.hashes, self.where, self.count = np.insert(self.hashes, at, h), np.insert(self.where, at, base + np.cumsum(count) - count), np.insert(self.count, at, count)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -191,12 +190,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _forget() -> None:
+    codec.cache_clear()
+
+
 def _encoded(path: str):
     def run(batches):
         c = codec(path)
         for b in batches:
             texts, ids_col = b.column("t").to_pylist(), b.column("id")
-            for lo, hi in slices(np.array([len(t or "") for t in texts], np.int64), 4_000_000):
+            for lo, hi in slices(np.array([len(t or "") for t in texts], np.int64), 1_000_000):
                 some = texts[lo:hi]
                 null = np.array([t is None for t in some])
                 ids, each = c.encode([t or "" for t in some])
@@ -216,7 +219,7 @@ def _encoded(path: str):
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids, starts, split) of every document."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(_encoded(vocabulary), "doc_id bigint, n_tokens bigint, ids array<int>, starts array<int>, split array<int>")
+    return rows.mapInArrow(tidied(_encoded(vocabulary), _forget), "doc_id bigint, n_tokens bigint, ids array<int>, starts array<int>, split array<int>")
 
 
 def ends(starts, split, n_chars) -> list[int]:
@@ -238,4 +241,4 @@ def _decoded(path: str):
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) again."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(vocabulary), "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(_decoded(vocabulary), _forget), "doc_id bigint, text string")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices, utf8
+from .common import slices, tidied, utf8
 
 SAMPLE_BYTES, SAMPLE_DOCS, PIECE, MAX_BITS = 40_000, 200, 512, 8.0
 _LETTER = np.zeros(256, bool)
@@ -86,7 +86,7 @@ def automaton(sample: bytes) -> tuple[list[dict], list[int]]:
     return nxt, size
 
 
-@lru_cache(8)
+@lru_cache(2)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The class of each byte; for each language its table of 4 * next state + (phrases that end here); log2 of the samples."""
     used = sorted({c for _, s in samples for c in s})
@@ -106,6 +106,10 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[np.
     return cls, tables, np.log2([max(2, len(s)) for _, s in samples])
 
 
+def _forget() -> None:
+    parser.cache_clear()
+
+
 def phrases(data: np.ndarray, sizes: np.ndarray, samples: tuple) -> np.ndarray:
     """Phrases of each text (row) against each language (column)."""
     cls, tables, _ = parser(samples)
@@ -166,7 +170,7 @@ def _judge(samples: tuple, max_bits: float, inner: str | None):
         for b in batches:
             texts = (b.column("row").field(inner) if inner else b.column("t")).to_pylist()
             langs, bits = [], []
-            for lo, hi in slices(np.array([len(t or "") for t in texts], np.int64), 4_000_000):
+            for lo, hi in slices(np.array([len(t or "") for t in texts], np.int64), 1_000_000):
                 a, x = identify(texts[lo:hi], samples, max_bits)
                 langs += a
                 bits.append(x)
@@ -184,7 +188,7 @@ def languages(docs: DataFrame, samples: tuple | None = None, doc_id: str = "doc_
     inner = text if text in cols else None
     rows = docs.select(row) if inner else docs.select(row, F.col(text).alias("t"))
     out = StructType([rows.schema["row"], StructField("language", StringType()), StructField("bits", DoubleType())])
-    return rows.mapInArrow(_judge(samples, max_bits, inner), out)
+    return rows.mapInArrow(tidied(_judge(samples, max_bits, inner), _forget), out)
 
 
 def known_language(docs: DataFrame, **how) -> DataFrame:

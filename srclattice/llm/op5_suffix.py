@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, M2, M3, PLAIN, Scratch, mix, ragged, release, slices, text_key, word_hashes, word_spans
+from .common import M1, M2, M3, PLAIN, Scratch, mix, ragged, release, slices, text_key, tidied, word_hashes, word_spans
 
 MIN_WORDS, BLOCK_WORDS, SPLIT_SAMPLE = 50, 300_000, 20_000
 BLOCK = "blk int, lens binary, syms binary"
@@ -74,7 +74,7 @@ def _fingerprints(min_words: int):
     def run(batches):
         for b in batches:
             texts, keys = b.column("text").to_pylist(), b.column("key")
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 2_000_000):
+            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1_000_000):
                 data, starts, ends, first = word_spans(texts[lo:hi], PLAIN)
                 if len(starts) < min_words:
                     continue
@@ -340,7 +340,7 @@ def suffix_order(blocks: DataFrame, scratch: Scratch, owners: int, min_words: in
     """
     cuts = _splitters(blocks, owners, max(8, SPLIT_SAMPLE // owners))
     plain = blocks.select("blk", "lens", "syms")
-    replies = plain.mapInArrow(_ask_names(cuts), "own int, blk int, t binary").groupBy("own").applyInArrow(_name, "blk int, own int, x binary, d bigint, n bigint")
+    replies = plain.mapInArrow(tidied(_ask_names(cuts)), "own int, blk int, t binary").groupBy("own").applyInArrow(_name, "blk int, own int, x binary, d bigint, n bigint")
     replies = scratch.save(replies, f"names{cover}")
     total = replies.agg(F.sum("d"), F.sum("n")).first()
     names = plain.groupBy("blk").cogroup(replies.select("blk", "own", "x").groupBy("blk")).applyInArrow(_strings_of_names, BLOCK)
@@ -440,12 +440,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(spark)
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"), F.col(doc_id).cast("bigint").alias("id")).where("key is not null")
     same = Window.partitionBy("fp")
-    fps = keyed.select("key", "text").mapInArrow(_fingerprints(min_words), "fp bigint, key binary, pos int")
+    fps = keyed.select("key", "text").mapInArrow(tidied(_fingerprints(min_words)), "fp bigint, key binary, pos int")
     for c in ("key", "pos"):
         fps = fps.withColumn(f"lo_{c}", F.min(c).over(same)).withColumn(f"hi_{c}", F.max(c).over(same))
     marked = fps.where("lo_key != hi_key or lo_pos != hi_pos").groupBy("key").agg(F.collect_set("pos").alias("pos"))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("ord"))
-    stretches = scratch.save(marked.join(texts, "key").select("key", "text", "ord", "pos").mapInArrow(_stretches(min_words), "key binary, ord bigint, start int, n int, syms binary"), "stretches")
+    stretches = scratch.save(marked.join(texts, "key").select("key", "text", "ord", "pos").mapInArrow(tidied(_stretches(min_words)), "key binary, ord bigint, start int, n int, syms binary"), "stretches")
     release(spark)
     words = stretches.agg(F.sum("n")).first()[0] or 0
     out = "key binary, cut boolean, s int, e int, src bigint"

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, word_spans
+from .common import Scratch, slices, tidied, word_spans
 
 MIN_ONE, MIN_TWO, WINDOW, QUOTE_WINDOW = 5, 8, 25, 3
 #: What is added to (toxic, other) documents with a term as written and misspelled.
@@ -145,6 +145,10 @@ def automaton(lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.array(rows, np.int32), best, which
 
 
+def _forget() -> None:
+    automaton.cache_clear()
+
+
 def edits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """For each word the edits to the nearest term in reach, 9 if there is none, and the number of that term."""
     table, best, which = automaton(lexicon)
@@ -203,7 +207,7 @@ def _find(lexicon: tuple[str, ...]):
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column("t").to_pylist()]
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 4_000_000):
+            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1_000_000):
                 found = hits(texts[lo:hi], lexicon)
                 has = [i for i, f in enumerate(found) if f]
                 if has:
@@ -248,8 +252,8 @@ def suspected(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "d
     """(doc_id, score, hits, words) of every document with a hit."""
     lex = tuple(sorted({w.lower() for w in lexicon if w}))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
-    found = Scratch(docs.sparkSession).save(rows.mapInArrow(_find(lex), f"doc_id bigint, found {HIT}"), "hits")
-    return found.mapInArrow(_score(weights(found, labels, lex)), "doc_id bigint, score double, hits bigint, words array<string>")
+    found = Scratch(docs.sparkSession).save(rows.mapInArrow(tidied(_find(lex), _forget), f"doc_id bigint, found {HIT}"), "hits")
+    return found.mapInArrow(tidied(_score(weights(found, labels, lex))), "doc_id bigint, score double, hits bigint, words array<string>")
 
 
 def toxic(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, **how) -> DataFrame:

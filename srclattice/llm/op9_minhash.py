@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, M1, M2, M3, Scratch, mix, slices, text_key, word_hashes, word_spans
+from .common import ALNUM, M1, M2, M3, Scratch, mix, slices, text_key, tidied, word_hashes, word_spans
 
 UNIVERSE, COORDINATES, BANDS, THRESHOLD, RUN = 1 << 20, 128, 32, 0.6, 3
 _WORD = re.compile("[0-9a-z\u0080-\U0010ffff]+")
@@ -44,6 +44,10 @@ def _tables(seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     return sigma, np.lib.stride_tricks.sliding_window_view(around, COORDINATES)
 
 
+def _forget() -> None:
+    _tables.cache_clear()
+
+
 def signatures(texts: list[str]) -> np.ndarray:
     """One row of COORDINATES for each text; texts have words."""
     sigma, shifted = _tables()
@@ -83,7 +87,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def _bands_of(batches):
     for b in batches:
         texts, keys = b.column("text").to_pylist(), b.column("key")
-        for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 2_000_000):
+        for lo, hi in slices(np.array([len(t) for t in texts], np.int64), 1_000_000):
             x = bands(signatures(texts[lo:hi]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, BANDS), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), lists], ["key", "bands"])
@@ -116,7 +120,7 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (c, m) whose texts are similar enough, as (a, b)."""
     one = texts.withColumnRenamed("key", "m").withColumnRenamed("text", "tm")
     two = texts.withColumnRenamed("key", "c").withColumnRenamed("text", "tc")
-    return pairs.join(one, "m").join(two, "c").select("c", "m", "tc", "tm").mapInArrow(_verified(threshold), "a binary, b binary")
+    return pairs.join(one, "m").join(two, "c").select("c", "m", "tc", "tm").mapInArrow(tidied(_verified(threshold)), "a binary, b binary")
 
 
 def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -141,7 +145,7 @@ def near_groups(docs: DataFrame, text: str = "text", threshold: float = THRESHOL
     scratch = Scratch(spark)
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).where("key is not null")
     bucket = Window.partitionBy("band")
-    exploded = keyed.mapInArrow(_bands_of, "key binary, bands array<bigint>").select("key", F.explode("bands").alias("band"))
+    exploded = keyed.mapInArrow(tidied(_bands_of, _forget), "key binary, bands array<bigint>").select("key", F.explode("bands").alias("band"))
     members = scratch.save(
         exploded.withColumn("c", F.min("key").over(bucket)).withColumn("top", F.max("key").over(bucket)).where("c != top").select("band", "key", "c").distinct(), "members"
     )
