@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows that go to Python at once, where the session has not set it: with texts of 100,000 characters, Spark's 10,000 rows would be 1 GB.
+ARROW_ROWS = "1000"
 
 
 def session(name: str = "srclattice", master: str | None = None) -> SparkSession:
@@ -24,6 +26,9 @@ def session(name: str = "srclattice", master: str | None = None) -> SparkSession
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the workers, once for each application."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
