@@ -14,6 +14,8 @@ or ratios of integers, so the sample does not depend on the order of summation.
 
 No source is sorted as a whole: the ratio is mapped to one of BUCKETS ordered buckets,
 counts by bucket tell where a source's last place falls, and only that bucket is ranked.
+Texts are not shuffled for it but those of that bucket, as long as there are no more than
+BROADCAST_ROWS sources.
 
 Defined cases: a NULL source is a source of its own. A NULL or empty text has size 1. A
 NULL id takes its uniform from the text's digest. Ties of the ratio go by id (NULL last),
@@ -27,7 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, SEED = 1 << 16, 20
+from .common import Scratch
+
+BUCKETS, SEED, BROADCAST_ROWS = 1 << 16, 20, 50_000
 
 
 def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
@@ -52,6 +56,11 @@ def _places(sources: DataFrame, weights: dict[str, float] | None, total: int | N
     return s.withColumn("n", F.col("whole") + F.when((r <= F.col("over")) & (F.col("rem") > 0), 1).otherwise(0)).select("src", "x_all", "n")
 
 
+def _beside(sources: DataFrame) -> DataFrame:
+    """A table with a row for each source goes to every executor if it has BROADCAST_ROWS rows at most; else the join shuffles."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sources
+
+
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(row, copies): each sampled row, as a struct, and how often it is in the mixture."""
     base = docs.select(
@@ -62,7 +71,8 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int
         _uniform(F.col(doc_id), F.col(text), seed).alias("u"),
     )
     places = _places(base.groupBy("src").agg(F.count("*").alias("docs"), F.sum("x").alias("x_all")), weights, total)
-    p = places.withColumnRenamed("src", "psrc")
+    scratch = Scratch(docs.sparkSession)
+    p = _beside(scratch.save(places.withColumnRenamed("src", "psrc"), "places"))
     each = base.join(p, F.col("src").eqNullSafe(F.col("psrc"))).drop("psrc")
     each = each.withColumn("sure", F.expr("n * x div x_all")).withColumn("left", F.expr("n * x % x_all"))
     each = each.withColumn("q", F.when(F.col("left") > 0, (F.col("u") / (1 - F.col("u"))) * ((F.col("x_all") - F.col("left")) / F.col("left"))))
@@ -72,7 +82,7 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     tally = tally.withColumn("free", F.col("n") - F.sum("s").over(of)).where("b >= 0")
     tally = tally.withColumn("before", F.sum("c").over(of.orderBy("b")) - F.col("c"))
     cut = tally.where("before < free and before + c >= free").select(F.col("src").alias("csrc"), F.col("b").alias("cut"), (F.col("free") - F.col("before")).alias("room"))
-    each = each.join(cut, F.col("src").eqNullSafe(F.col("csrc")), "left").drop("csrc")
+    each = each.join(_beside(scratch.save(cut, "cuts")), F.col("src").eqNullSafe(F.col("csrc")), "left").drop("csrc")
     clear = each.where("b < 0 or cut is null or b != cut").select("row", (F.col("sure") + F.when((F.col("b") >= 0) & (F.col("b") < F.col("cut")), 1).otherwise(0)).alias("copies"))
     order = of.orderBy("q", F.col("id").asc_nulls_last(), F.md5(F.col(f"row.`{text}`").cast("binary")))
     edge = each.where("b = cut").withColumn("r", F.row_number().over(order)).select("row", (F.col("sure") + F.when(F.col("r") <= F.col("room"), 1).otherwise(0)).alias("copies"))
