@@ -110,6 +110,9 @@ CATALOG = {
     "diff_impact": (lambda f, s, d: G.diff_impact(f, f.types.select("path"), 3), f"""{_BACK}, d as (select callee_class class, count(*) n from edges where caller_class <> callee_class group by 1), s0 as (select class seed, class || '.' || name node from methods), s1 as (select distinct seed, dst node from s0 join back on src = node), s2 as (select distinct seed, dst node from s1 join back on src = node), s3 as (select distinct seed, dst node from s2 join back on src = node),
         a as (select seed, count(distinct split_part(node, '.', 1)) n from (select * from s1 union select * from s2 union select * from s3) where split_part(node, '.', 1) <> seed group by 1)
         select name as class, coalesce(d.n, 0)::bigint caller_edges, coalesce(a.n, 0)::bigint affected, case when coalesce(d.n, 0) = 0 then 'none' when d.n <= 5 then 'low' when d.n <= 20 then 'medium' else 'high' end risk from types left join d on d.class = name left join a on seed = name"""),
+    "diff_impact_whole": (lambda f, s, d: G.diff_impact(f, f.types.select("path")), f"""{_BACK}, d as (select callee_class class, count(*) n from edges where caller_class <> callee_class group by 1), r as (with recursive r(seed, node, depth) as (select class, class || '.' || name, 0 from methods union select seed, dst, depth + 1 from r join back on src = node where depth < 30) select * from r),
+        a as (select seed, count(distinct split_part(node, '.', 1)) n from r where depth > 0 and split_part(node, '.', 1) <> seed group by 1)
+        select name as class, coalesce(d.n, 0)::bigint caller_edges, coalesce(a.n, 0)::bigint affected, case when coalesce(d.n, 0) = 0 then 'none' when d.n <= 5 then 'low' when d.n <= 20 then 'medium' else 'high' end risk from types left join d on d.class = name left join a on seed = name"""),
     "search_lines": (lambda f, s, d: T.search(T.source_lines(_documents(s, d).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))), "License|idiot").select("path", "line_no", "col", "word"), """l as (select doc_id::varchar as path, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) as line_no from documents where length(text) > 0), x as (select *, instr(line, 'License') a, instr(line, 'idiot') b from l)
         select path, line_no::int as line_no, (case when a > 0 and (b = 0 or a < b) then a else b end)::int as col, case when a > 0 and (b = 0 or a < b) then 'License' else 'idiot' end word from x where a > 0 or b > 0"""),
     "find_concepts": (lambda f, s, d: T.find(f, ["delete", "economy"]), """m as (select class, list(lower(name)) ms from methods group by 1), x as (select qualified, case when regexp_matches(lower(qualified), 'delete|remove|drop|clear|purge') then 5 when len(list_filter(coalesce(ms, []), lambda n: regexp_matches(n, 'delete|remove|drop|clear|purge'))) > 0 then 3 else 0 end a, case when contains(lower(qualified), 'economy') then 5 when len(list_filter(coalesce(ms, []), lambda n: contains(n, 'economy'))) > 0 then 3 else 0 end b from types left join m on class = name)
