@@ -56,13 +56,40 @@ def lint(f: Facts) -> DataFrame:
     return odd.unionByName(dead)
 
 
+def _shape(signature):
+    """A signature's parameters as they stand, and how many they are; commas between < and > do not count."""
+    inside = F.regexp_extract(signature, r"\((.*)\)", 1)
+    flat = inside
+    for _ in range(4):
+        flat = F.regexp_replace(flat, "<[^<>]*>", "")
+    return F.regexp_replace(inside, r"\s+", " "), F.when(F.trim(flat) == "", 0).otherwise(F.size(F.split(flat, ",")))
+
+
 def verify(f: Facts, spec: DataFrame) -> DataFrame:
-    """(class, name, problem): spec has (class, name); methods that are missing or not documented."""
+    """(class, name, problem): methods that spec has and the code lacks, or the other way round; spec has (class, name).
+
+    Where spec also has (signature, throws, annotations), the result has the column expected too, and a row for each
+    exception or annotation that a method lacks. Of overloads, the one with the specification's parameters counts, else one with
+    as many, else the first. Annotations are facts by name, so for them all overloads are one method.
+    """
     have = f.methods.select("class", "name").distinct()
     want = spec.select("class", "name").distinct()
     gone = want.join(have, ["class", "name"], "left_anti").withColumn("problem", F.lit("missing_method"))
     extra = have.join(want.select("class").distinct(), "class", "left_semi").join(want, ["class", "name"], "left_anti").withColumn("problem", F.lit("undocumented_method"))
-    return gone.unionByName(extra)
+    found = gone.unionByName(extra)
+    if not {"signature", "throws", "annotations"} <= set(spec.columns):
+        return found
+    asked = spec.select("class", "name", F.coalesce("signature", F.lit("")).alias("signature"), "throws", "annotations").distinct()
+    text, n = _shape(F.col("signature"))
+    has_text, has_n = _shape(F.col("has"))
+    thrown = F.regexp_extract("has", r"\) throws (.*)$", 1)
+    of = asked.withColumns({"text": text, "n": n}).join(f.methods.select("class", "name", F.col("signature").alias("has"), "start_line"), ["class", "name"])
+    best = of.groupBy("class", "name", "signature", "throws").agg(F.min_by("has", F.struct(has_text != F.col("text"), has_n != F.col("n"), "start_line", "has")).alias("has"))
+    lacks = best.select("class", "name", F.explode(F.array_except("throws", F.split(thrown, ", "))).alias("expected")).distinct().withColumn("problem", F.lit("missing_throws"))
+    notes = asked.join(have, ["class", "name"], "left_semi").select("class", "name", F.explode("annotations").alias("expected")).distinct()
+    on = f.annotations.select("class", F.col("method").alias("name"), F.col("name").alias("expected"))
+    bare = notes.join(on, ["class", "name", "expected"], "left_anti").withColumn("problem", F.lit("missing_annotation"))
+    return found.withColumn("expected", F.lit(None).cast("string")).unionByName(lacks).unionByName(bare)
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -77,6 +77,9 @@ def spec(spark: SparkSession, path: str) -> DataFrame:
             name = re.search(r"([\w$]+)\s*\(", m[1])
             if name:
                 rows.append((cls, name[1], m[1].strip(), [], []))
-        elif rows and (m := re.match(r"\s*-\s+\*\*(Throws|Annotation)s?\*\*:?\s*(.*)", line)):
-            rows[-1][3 if m[1] == "Throws" else 4].extend(x.strip(" `@") for x in m[2].split(",") if x.strip())
+        elif rows and (m := re.match(r"(?i)\s*-\s+\*\*(throws|annotation)s?(?::\*\*|\*\*:?)\s*(.*)", line)):
+            throws = m[1].lower() == "throws"
+            for x in (m[2] if throws else re.sub(r"\([^)]*\)", "", m[2])).split(","):
+                if x := x.strip(" `@"):
+                    rows[-1][3 if throws else 4].append(x if throws else x.rsplit(".", 1)[-1])
     return spark.createDataFrame(rows, "class string, name string, signature string, throws array<string>, annotations array<string>")
