@@ -3,17 +3,16 @@
 The lexicon is a trie; walking it with up to k edits is a finite automaton, which is made
 deterministic once: a state is the set of (trie node, edits so far) that a word's letters
 so far can have reached. All words of a batch of texts are fed to it side by side, letter by letter,
-and leave it as soon as no term is in reach, so most cost two or three steps.
+and leave it as soon as no term is in reach.
 
 Terms of MIN_ONE letters or more allow one edit, of MIN_TWO or more two; shorter ones
-none. An edit is an inserted, lost or other letter, or two that changed places. The first letter must be right, as
-people who misspell keep it and words that only look alike mostly do not. Digits and
+none. An edit is an inserted, lost or other letter, or two that changed places, anywhere in the word. Digits and
 signs that stand for letters (1diot, $tupid) are those letters.
 
-What a term weighs, as written and misspelled, is learned from the labelled documents: of
+What a term weighs as written, and what each of its misspelled forms weighs, is learned from the labelled documents: of
 n that contain it k are toxic, and with PRIOR it weighs (k + a) / (n + a + b). Names and
-words of other languages that look like a term thereby weigh little. Only counts by term are
-gathered on the driver, as many as the lexicon has terms.
+words (of this or other languages) that look like a term thereby weigh little, without taking weight from its misspellings. Counts by term
+and form are gathered on the driver, as many as labelled documents have distinct forms.
 
 A hit has its term's weight, doubled if a word of address (you, your)
 is among the WINDOW words before or after it, and quartered if it is quoted: a quotation mark
@@ -41,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices, tidied, word_spans
 
-MIN_ONE, MIN_TWO, WINDOW, QUOTE_WINDOW = 5, 8, 25, 3
-#: What is added to (toxic, other) documents with a term as written and misspelled.
+MIN_ONE, MIN_TWO, WINDOW, QUOTE_WINDOW = 4, 8, 25, 3
+#: What is added to (toxic, other) documents with a term as written and with a misspelled form.
 PRIOR, THRESHOLD = ((3.0, 1.0), (1.0, 1.0)), 0.7
 LEXICON = (
     "idiot idiots idiotic moron morons moronic stupid stupidity imbecile imbeciles cretin cretins dimwit halfwit dumbass jackass asshole assholes bastard bastards bitch bitches "
@@ -66,8 +65,8 @@ _MEANS = [""] + [chr(96 + i) for i in range(1, 27)] + list(_STANDS.values())
 
 
 @lru_cache(8)
-def automaton(lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Next state by (state, byte class), state 0 being out of reach and 1 the start; and by state the edits of the best term that ends there (9: none), and its number."""
+def automaton(lexicon: tuple[str, ...], first: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Next state by (state, byte class), state 0 being out of reach and 1 the start; and by state the edits of the best term that ends there (9: none), and its number. first: the first letter must be right."""
     kids: list[dict[str, int]] = [{}]
     allowed, ends, order = [0], [False], []
     for w in lexicon:
@@ -82,6 +81,7 @@ def automaton(lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndar
             allowed[p] = max(allowed[p], k)
         ends[p] = True
         order.append(p)
+    allowed[0] = max(allowed)
     depth = [0] * len(kids)
     for p, d in enumerate(kids):
         for q in d.values():
@@ -94,7 +94,7 @@ def automaton(lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndar
         todo = list(items.items())
         while todo:  # letters of the term that the word lost
             (p, wait), e = todo.pop()
-            if items.get((p, wait)) == e and p and not wait:
+            if items.get((p, wait)) == e and (p or not first) and not wait:
                 for q in kids[p].values():
                     if e + 1 <= allowed[q] and items.get((q, ""), 9) > e + 1:
                         items[q, ""] = e + 1
@@ -116,17 +116,17 @@ def automaton(lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndar
             for c, q in kids[p].items():
                 if c in letters:
                     put(q, e)
-                elif p:
+                elif p or not first:
                     put(q, e + 1)
-                if p:
+                if p or not first:
                     for c2, q2 in kids[q].items():
                         if c2 in letters and c2 != c:
                             put(q2, e + 1, c)
-            if p:
+            if p or not first:
                 put(p, e + 1)
         return close(out)
 
-    start = frozenset({((0, ""), 0)})
+    start = close({(0, ""): 0})
     number = {frozenset(): 0, start: 1}
     rows, queue = [[0] * _CLASSES], [start]
     for state in queue:
@@ -149,9 +149,9 @@ def _forget() -> None:
     automaton.cache_clear()
 
 
-def edits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the edits to the nearest term in reach, 9 if there is none, and the number of that term."""
-    table, best, which = automaton(lexicon)
+def edits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: tuple[str, ...], first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the edits to the nearest term in reach, 9 if there is none, and the number of that term. first: words must begin as the term does."""
+    table, best, which = automaton(lexicon, first)
     out, term, size, j = np.full(len(starts), 9, np.int8), np.zeros(len(starts), np.int32), ends - starts, 1
     state = table[1][_READ[data[starts]]] if len(starts) else np.zeros(0, np.int32)
     live = np.flatnonzero(state)
@@ -183,7 +183,7 @@ def _quoted(data: np.ndarray, s: int, e: int) -> bool:
 def hits(texts: list[str], lexicon: tuple[str, ...]) -> list[list[tuple]]:
     """(place, term, misspelled, factor, word) of each hit of each text; factor comes from its context."""
     data, starts, ends, first = word_spans([_plain(t) for t in texts], TOKEN)
-    found, term = edits(data, starts, ends, lexicon)
+    found, term = edits(data, starts, ends, lexicon, first=False)
     at = np.flatnonzero(found < 9)
     out: list[list[tuple]] = [[] for _ in texts]
     word = lambda i: data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").lower()
@@ -216,23 +216,29 @@ def _find(lexicon: tuple[str, ...]):
     return run
 
 
-def weights(found: DataFrame, labels: DataFrame | None, lexicon: tuple[str, ...]) -> dict[tuple[str, bool], float]:
-    """What each term weighs, as written and misspelled."""
-    out = {(t, m): PRIOR[m][0] / sum(PRIOR[m]) for t in lexicon for m in (False, True)}
+def _form(h: dict) -> str:
+    """The misspelled form of a hit, "" as written."""
+    return h["word"] if h["misspelled"] else ""
+
+
+def weights(found: DataFrame, labels: DataFrame | None, lexicon: tuple[str, ...]) -> dict[tuple[str, str], float]:
+    """What each (term, misspelled form) weighs, the form being "" as written; forms that no label tells about are not there."""
+    out = {(t, ""): PRIOR[0][0] / sum(PRIOR[0]) for t in lexicon}
     if labels is None:
         return out
     lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    once = found.select("doc_id", F.explode(F.array_distinct(F.transform("found", lambda h: F.struct(h.term.alias("term"), h.misspelled.alias("misspelled"))))).alias("h"))
+    once = found.select("doc_id", F.explode(F.array_distinct(F.transform("found", lambda h: F.struct(h.term.alias("term"), F.when(h.misspelled, h.word).otherwise("").alias("form"))))).alias("h"))
     for r in once.join(lab, "doc_id").groupBy("h").agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("k")).collect():
-        a, b = PRIOR[r.h.misspelled]
-        out[r.h.term, r.h.misspelled] = (r.k + a) / (r.n + a + b)
+        a, b = PRIOR[bool(r.h.form)]
+        out[r.h.term, r.h.form] = (r.k + a) / (r.n + a + b)
     return out
 
 
-def score(found: list[dict], known: dict[tuple[str, bool], float]) -> float:
+def score(found: list[dict], known: dict[tuple[str, str], float]) -> float:
     """The largest sum of weights within WINDOW words."""
     places = np.array([h["place"] for h in found])
-    total = np.concatenate([[0.0], np.cumsum([known[h["term"], h["misspelled"]] * h["factor"] for h in found])])
+    unseen = PRIOR[1][0] / sum(PRIOR[1])
+    total = np.concatenate([[0.0], np.cumsum([known.get((h["term"], _form(h)), unseen) * h["factor"] for h in found])])
     return float((total[np.searchsorted(places, places + WINDOW, "right")] - total[:-1]).max())
 
 
