@@ -10,7 +10,8 @@ none. An edit is an inserted, lost or other letter, or two that changed places,
 signs that stand for letters (1diot, $tupid) are those letters.
 
 What a term weighs as written, and what each of its misspelled forms weighs, is learned from the labelled documents: of
-n that contain it k are toxic, and with PRIOR it weighs (k + a) / (n + a + b). Names and
+n that contain it k are toxic, and with PRIOR it weighs (k + a) / (n + a + b). A form weighs (k + FORM * w) / (n + FORM), where w is the weight
+of its term as written, times DISCOUNT for each edit; so a form that no label tells about weighs w. Names and
 words (of this or other languages) that look like a term thereby weigh little, without taking weight from its misspellings. Counts by term
 and form are gathered on the driver, as many as labelled documents have distinct forms.
 
@@ -18,8 +19,8 @@ A hit has its term's weight, doubled if a word of address (you, your)
 is among the WINDOW words before or after it, and quartered if it is quoted: a quotation mark
 directly before or after it, or a word about words (said, called, word, term) among the QUOTE_WINDOW
 words before it. A document's score is the largest sum of the weights within WINDOW
-words; it is toxic from THRESHOLD on. So one exact term that is not quoted is enough, two
-misspelled ones must be close together, and a document about terms is left alone.
+words; it is toxic from THRESHOLD on. So one exact term that is not quoted is enough, or one with one edit if labels make
+its term a strong one; weaker ones must be close together, and a document about terms is left alone.
 
 Defined cases: NULL and empty texts have no hits. Every row is judged, repeated ones too.
 Whole texts are read, however long. Words are runs of letters, digits, $ and @. Labels with a
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, tidied, word_spans
 
 MIN_ONE, MIN_TWO, WINDOW, QUOTE_WINDOW = 4, 8, 25, 3
-#: What is added to (toxic, other) documents with a term as written and with a misspelled form.
-PRIOR, THRESHOLD = ((3.0, 1.0), (1.0, 1.0)), 0.7
+#: What is added to (toxic, other) documents with a term as written; how many documents the term counts as for a misspelled form, and its discount by edit.
+PRIOR, FORM, DISCOUNT, THRESHOLD = (3.0, 1.0), 2.0, 0.8, 0.7
 LEXICON = (
     "idiot idiots idiotic moron morons moronic stupid stupidity imbecile imbeciles cretin cretins dimwit halfwit dumbass jackass asshole assholes bastard bastards bitch bitches "
     "scum scumbag scumbags loser losers pathetic worthless disgusting despicable trash clown clowns retard retarded freak filth filthy vermin parasite parasites degenerate "
@@ -181,7 +182,7 @@ def _quoted(data: np.ndarray, s: int, e: int) -> bool:
 
 
 def hits(texts: list[str], lexicon: tuple[str, ...]) -> list[list[tuple]]:
-    """(place, term, misspelled, factor, word) of each hit of each text; factor comes from its context."""
+    """(place, term, misspelled, factor, word, edits) of each hit of each text; factor comes from its context."""
     data, starts, ends, first = word_spans([_plain(t) for t in texts], TOKEN)
     found, term = edits(data, starts, ends, lexicon, first=False)
     at = np.flatnonzero(found < 9)
@@ -193,16 +194,16 @@ def hits(texts: list[str], lexicon: tuple[str, ...]) -> list[list[tuple]]:
             factor *= 2
         if not {word(j) for j in range(max(a, i - QUOTE_WINDOW), i)}.isdisjoint(ABOUT) or _quoted(data, int(starts[i]), int(ends[i])):
             factor /= 4
-        out[d].append((i - a, lexicon[term[i]], bool(found[i]), factor, word(i)))
+        out[d].append((i - a, lexicon[term[i]], bool(found[i]), factor, word(i), int(found[i])))
     return out
 
 
-HIT = "array<struct<place:int,term:string,misspelled:boolean,factor:double,word:string>>"
+HIT = "array<struct<place:int,term:string,misspelled:boolean,factor:double,word:string,edits:int>>"
 
 
 def _find(lexicon: tuple[str, ...]):
-    kind = pa.list_(pa.struct([("place", pa.int32()), ("term", pa.string()), ("misspelled", pa.bool_()), ("factor", pa.float64()), ("word", pa.string())]))
-    names = ("place", "term", "misspelled", "factor", "word")
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("term", pa.string()), ("misspelled", pa.bool_()), ("factor", pa.float64()), ("word", pa.string()), ("edits", pa.int32())]))
+    names = ("place", "term", "misspelled", "factor", "word", "edits")
 
     def run(batches):
         for b in batches:
@@ -216,33 +217,43 @@ def _find(lexicon: tuple[str, ...]):
     return run
 
 
-def _form(h: dict) -> str:
-    """The misspelled form of a hit, "" as written."""
-    return h["word"] if h["misspelled"] else ""
+Known = tuple[dict[str, float], dict[tuple[str, str], tuple[int, int]]]
 
 
-def weights(found: DataFrame, labels: DataFrame | None, lexicon: tuple[str, ...]) -> dict[tuple[str, str], float]:
-    """What each (term, misspelled form) weighs, the form being "" as written; forms that no label tells about are not there."""
-    out = {(t, ""): PRIOR[0][0] / sum(PRIOR[0]) for t in lexicon}
+def weights(found: DataFrame, labels: DataFrame | None, lexicon: tuple[str, ...]) -> Known:
+    """What each term weighs as written; and of its misspelled forms in labelled documents, how many documents have it and how many of these are toxic."""
+    a, b = PRIOR
+    out, forms = dict.fromkeys(lexicon, a / (a + b)), {}
     if labels is None:
-        return out
+        return out, forms
     lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     once = found.select("doc_id", F.explode(F.array_distinct(F.transform("found", lambda h: F.struct(h.term.alias("term"), F.when(h.misspelled, h.word).otherwise("").alias("form"))))).alias("h"))
     for r in once.join(lab, "doc_id").groupBy("h").agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("k")).collect():
-        a, b = PRIOR[bool(r.h.form)]
-        out[r.h.term, r.h.form] = (r.k + a) / (r.n + a + b)
-    return out
+        if r.h.form:
+            forms[r.h.term, r.h.form] = (r.n, r.k)
+        else:
+            out[r.h.term] = (r.k + a) / (r.n + a + b)
+    return out, forms
+
+
+def weight(h: dict, known: Known) -> float:
+    """Of a hit, without its context."""
+    out, forms = known
+    w = out[h["term"]] * DISCOUNT ** h["edits"]
+    if not h["misspelled"]:
+        return w
+    n, k = forms.get((h["term"], h["word"]), (0, 0))
+    return (k + FORM * w) / (n + FORM)
 
 
-def score(found: list[dict], known: dict[tuple[str, str], float]) -> float:
+def score(found: list[dict], known: Known) -> float:
     """The largest sum of weights within WINDOW words."""
     places = np.array([h["place"] for h in found])
-    unseen = PRIOR[1][0] / sum(PRIOR[1])
-    total = np.concatenate([[0.0], np.cumsum([known.get((h["term"], _form(h)), unseen) * h["factor"] for h in found])])
+    total = np.concatenate([[0.0], np.cumsum([weight(h, known) * h["factor"] for h in found])])
     return float((total[np.searchsorted(places, places + WINDOW, "right")] - total[:-1]).max())
 
 
-def _score(known: dict):
+def _score(known: Known):
     def run(batches):
         for b in batches:
             found = b.column("found").to_pylist()

@@ -30,3 +30,11 @@ def test_look_alikes_weigh_by_form(spark):
     docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id bigint, text string")
     labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id bigint, toxic int")
     assert {r.doc_id for r in x.toxic(docs, labels).collect()} == set(range(40, 80))
+
+
+def test_a_clear_misspelling_of_a_strong_term_is_enough(spark):
+    rows = [(i, f"w{i} moron", 1) for i in range(60)] + [(i, f"w{i} clown", 0) for i in range(60, 120)]
+    new = [(200, "a morron walks"), (201, "a clwon walks"), (202, "a plain walk")]
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows] + new, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id bigint, toxic int")
+    assert {r.doc_id for r in x.toxic(docs, labels).collect() if r.doc_id >= 200} == {200}
