@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import difflib
 import json
+import re
 import sys
 import time
 
@@ -39,6 +40,11 @@ def _simple(ref: str) -> tuple[str, str | None]:
     return r.name, r.cls and r.cls.rsplit(".", 1)[-1]
 
 
+def _stop(globs: list[str]) -> str | None:
+    """A regular expression of the names at which chains stop; * stands for any letters."""
+    return f"^(?:{'|'.join('.*'.join(re.escape(x) for x in g.split('*')) for g in globs)})$" if globs else None
+
+
 #: command: (what it needs, what it does, query of (facts, context, argument))
 COMMANDS = {
     "overview": ("", "counts", lambda f, c, a: V.overview(f)),
@@ -65,8 +71,8 @@ COMMANDS = {
     "hotspots": ("", "most called types", lambda f, c, a: G.hotspots(f)),
     "callers": ("method", "direct callers", lambda f, c, a: G.callers(f, *_simple(a))),
     "callees": ("method", "direct callees", lambda f, c, a: G.callees(f, *_simple(a))),
-    "call-chain": ("method", "all paths to a method", lambda f, c, a: G.call_chains(f, _targets(f, a))),
-    "mermaid": ("method", "diagrams of the paths", lambda f, c, a: G.mermaid(G.call_chains(f, _targets(f, a)))),
+    "call-chain": ("method", "all paths to a method", lambda f, c, a: G.call_chains(f, _targets(f, a), stop=c["stop"])),
+    "mermaid": ("method", "diagrams of the paths", lambda f, c, a: G.mermaid(G.call_chains(f, _targets(f, a), stop=c["stop"]))),
     "impact": ("method", "classes that a change reaches", lambda f, c, a: G.impact(f, _targets(f, a))),
     "test-for": ("method", "tests to run", lambda f, c, a: G.tests_for(f, _targets(f, a))),
     "validate": ("method", "does it exist, else the closest", lambda f, c, a: T.validate(f, c["spark"].createDataFrame([(_simple(a)[1] or "", _simple(a)[0])], "class string, name string"))),
@@ -136,13 +142,16 @@ def main(argv: list[str] | None = None) -> int:
         invokers = {i["method"]: (i.get("resolveClass", "").capitalize(), tuple(i.get("callerSuffixes") or [""])) for i in cfg["invokers"]}
         f = B.facts(parsed, invokers)
         f = f.without_tests() if a.no_test else f
-        out = run(f, {"spark": spark, "files": files, "parsed": parsed, "changes": changes, "root": a.root, "full": a.full}, a.argument)
+        out = run(f, {"spark": spark, "files": files, "parsed": parsed, "changes": changes, "root": a.root, "full": a.full, "stop": _stop(cfg["chain_stop_methods"])}, a.argument)
         out = render.fields(out, a.fields.split(",")) if a.fields else out
         if a.md:
             print(render.markdown(out))
             n = out.limit(1).count()
         else:
-            rows = [r[0] for r in (render.json_rows(out) if a.full else render.json_rows(out.limit(50))).collect()]
+            rows = [r[0] for r in (render.json_rows(out) if a.full else render.json_rows(out.limit(51))).collect()]
+            if not a.full and len(rows) > 50:
+                rows = rows[:50]
+                print(f"50 of {out.count()} rows; --full prints all", file=sys.stderr)
             print("\n".join(rows) if a.json or rows else "nothing found")
             n = len(rows)
     except ValueError as e:
