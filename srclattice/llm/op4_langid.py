@@ -8,11 +8,15 @@ smallest one wins.
 
 The automaton is turned into one table: the next state for each state and byte class, with
 a mark where a phrase ends. Pieces of texts of PIECE bytes are parsed side by side, one
-byte of each in a step; a phrase also ends where its piece does. Only letters count: other
+byte of each in a step, each from the start state; then the parse of each piece is carried on into the next one until it
+meets the state that the next one's own parse is in, from where on they are the same. A text in which they do not meet is parsed
+from end to end. So phrases do not depend on pieces. Only letters count: other
 characters are white space, runs of it one space, and case is folded.
 
-The sample (SAMPLE_BYTES of each language, as the model is fitted on a bounded sample) is
-the labelled documents in the order of a hash of their ids. Rejected are texts without
+The sample (the first SAMPLE_BYTES characters of each language, as the model is fitted on a bounded sample) is
+the labelled documents in the order of a hash of their ids and texts, equal rows once; which hashes are low enough is told by
+sums by powers of two of the hash, so that about SAMPLE_BYTES, or a few times that, of a language meet to be ordered, however
+many rows or languages there are. Rejected are texts without
 letters, and those above MAX_BITS with even the best language: they are no running text of
 any of the languages.
 
@@ -35,7 +39,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import slices, tidied, utf8
 
-SAMPLE_BYTES, SAMPLE_DOCS, PIECE, MAX_BITS = 40_000, 200, 512, 8.0
+SAMPLE_BYTES, PIECE, MAX_BITS = 40_000, 512, 8.0
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _LETTER[[65 + i for i in range(26)]] = True
@@ -125,18 +129,50 @@ def phrases(data: np.ndarray, sizes: np.ndarray, samples: tuple) -> np.ndarray:
         return out
     codes = cls[data]
     live = np.searchsorted(-length, -np.arange(length[0]), "left")  # pieces longer than j
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    follow = np.where(np.append(owner[place][1:], -1) == owner[place], np.append(place[1:], -1), -1)[order]  # the next piece of the same text
     for k, t in enumerate(tables):
         flat, width = t.ravel(), t.shape[1]
         state, count = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        at = np.zeros((int(length[0]), len(owner)), np.int32)  # state and phrases so far, by step
+        upto = np.zeros((int(length[0]), len(owner)), np.int16)
         for j in range(int(length[0])):
             n = live[j]
             x = flat[state[:n] * width + codes[start[:n] + j]]
             count[:n] += x & 3
             state[:n] = x >> 2
-        out[:, k] = np.bincount(owner, count + (state > 0), len(sizes))
+            at[j, :n], upto[j, :n] = state[:n], count[:n]
+        total = np.bincount(owner, count + ((state > 0) & (follow < 0)), len(sizes)).astype(np.int64)
+        total += _carried(flat, width, codes, at, upto, state, count, start, length, owner, follow, begin, sizes, total)
+        out[:, k] = total
     return out
 
 
+def _carried(flat, width, codes, at, upto, state, count, start, length, owner, follow, begin, sizes, total) -> np.ndarray:
+    """What each text's count changes by as the parse of each piece goes on into the next one."""
+    change = np.zeros(len(sizes), np.int64)
+    lane = np.flatnonzero(follow >= 0)
+    to, s, more, j = follow[lane], state[lane], np.zeros(len(lane), np.int64), 0
+    apart = []  # the texts of parses that did not meet
+    while len(lane):
+        x = flat[s * width + codes[start[to] + j]]
+        more, s = more + (x & 3), x >> 2
+        met = at[j, to] == s
+        np.add.at(change, owner[to[met]], more[met] - upto[j, to[met]])
+        over = ~met & (length[to] == j + 1)
+        apart.append(owner[to[over]])
+        on = ~met & ~over
+        lane, to, s, more, j = lane[on], to[on], s[on], more[on], j + 1
+    for d in np.unique(np.concatenate(apart)).tolist() if apart else []:
+        n, q, view = 0, 0, memoryview(flat)
+        for c in codes[begin[d] : begin[d] + sizes[d]].tolist():
+            x = view[q * width + c]
+            n, q = n + (x & 3), x >> 2
+        change[d] = n + (q > 0) - total[d]
+    return change
+
+
 def identify(texts: list[str | None], samples: tuple, max_bits: float = MAX_BITS) -> tuple[list[str], np.ndarray]:
     """The language of each text and its bits a byte (NaN without letters)."""
     data, sizes = letters([t or "" for t in texts])
@@ -148,20 +184,29 @@ def identify(texts: list[str | None], samples: tuple, max_bits: float = MAX_BITS
     return [samples[i][0] if x <= max_bits else "und" for i, x in zip(best.tolist(), low.tolist())], low
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> tuple[tuple[str, bytes], ...]:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> tuple[tuple[str, bytes], ...]:
     """A sample of each language: (language, letters). The only thing gathered on the driver."""
-    ids = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("lang"), F.xxhash64(doc_id).alias("h"))
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs).groupBy("lang").agg(F.max("h").alias("top"))
-    tops = {r.lang: r.top for r in first.collect()}
-    if not tops:
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike("[A-Za-z]|[^\\x00-\\x7f]")).select(F.col(label).cast("string").alias("lang"), F.xxhash64(doc_id, text).alias("h"), F.substring(F.col(text), 1, sample_bytes).alias("t"))
+    rows = rows.withColumn("z", F.length(F.conv(F.hex("h"), 16, 2)))  # bits of the hash: half of all rows have 64, a quarter has 63
+    tally: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("lang", "z").agg(F.sum(F.length("t")).alias("n")).collect():
+        tally.setdefault(r.lang, {})[r.z] = r.n
+    if not tally:
         return ()
-    cut = F.create_map(*[F.lit(x) for kv in sorted(tops.items()) for x in kv])
-    few = docs.where(F.xxhash64(doc_id) <= cut[F.col(label)]).select(F.col(label).alias("lang"), F.xxhash64(doc_id).alias("h"), F.substring(F.col(text), 1, sample_bytes).alias("t"))
-    by: dict[str, list[str]] = {}
-    for r in few.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("t", "ascending")]).to_pylist():
-        if sum(map(len, by.setdefault(r["lang"], []))) < sample_bytes:
-            by[r["lang"]].append(r["t"])
-    out = [(k, letters([" ".join(v)])[0][:sample_bytes].tobytes()) for k, v in sorted(by.items())]
+    cut = {}
+    for lang, by in tally.items():
+        got = 0
+        for z in sorted(by):
+            cut[lang], got = z, got + by[z]
+            if got >= 2 * sample_bytes:
+                break
+    upto = F.create_map(*[F.lit(x) for kv in sorted(cut.items()) for x in kv])
+    few = rows.where(F.col("z") <= upto[F.col("lang")]).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    before = F.sum(F.length("t")).over(Window.partitionBy("lang").orderBy(F.length(F.conv(F.hex("h"), 16, 2)), "h").rowsBetween(Window.unboundedPreceding, -1))
+    by_lang: dict[str, list[str]] = {}
+    for r in few.withColumn("before", before).where(f"before is null or before < {sample_bytes}").toArrow().sort_by([("lang", "ascending"), ("before", "ascending")]).to_pylist():
+        by_lang.setdefault(r["lang"], []).append(r["t"])
+    out = [(k, letters([" ".join(v)])[0][:sample_bytes].tobytes()) for k, v in sorted(by_lang.items())]
     return tuple(x for x in out if x[1])
 
 

@@ -7,14 +7,12 @@ from srclattice.llm import op4_langid as g
 
 
 def brute_phrases(data: bytes, sample: bytes) -> int:
-    n = 0
-    for lo in range(0, len(data), g.PIECE):
-        p, i = data[lo : lo + g.PIECE], 0
-        while i < len(p):
-            k = 0
-            while i + k < len(p) and p[i : i + k + 1] in sample:
-                k += 1
-            i, n = i + max(k, 1), n + 1
+    n = i = 0
+    while i < len(data):
+        k = 0
+        while i + k < len(data) and data[i : i + k + 1] in sample:
+            k += 1
+        i, n = i + max(k, 1), n + 1
     return n
 
 
@@ -33,7 +31,7 @@ def labelled(spark):
 def test_phrases_against_brute_force():
     r = random.Random(1)
     samples = tuple((k, g.letters([text(k, 80, r)])[0].tobytes()) for k in "xyz")
-    texts = [text(r.choice("xyz"), r.randint(0, 400), r) for _ in range(20)] + ["", "qqq", "a"]
+    texts = [text(r.choice("xyz"), r.randint(0, 400), r) for _ in range(20)] + ["", "qqq", "a", "kato" * 900, "q" * 1500, "ka qka" * 700, text("y", 3000, r)]
     data, sizes = g.letters(texts)
     got, at = g.phrases(data, sizes, samples), 0
     for i, n in enumerate(sizes):
@@ -67,3 +65,21 @@ def test_edges(hard, none, labelled):
     assert out.columns == hard.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 2, 8, 9, 10, 11]
     assert g.known_language(none).count() == 0 and g.identified(hard, label="n_chars").count() == 0
     assert g.languages(hard).count() == hard.count()
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):
+        rows = [(ids(i), f"{text('xy'[i % 2], 60, random.Random(i))} {i}", "xy"[i % 2]) for i in range(1500)] + [(None, "ka " * 30_000, "x")] * 20 + [(1, "???", "w"), (2, None, "w"), (3, "a", None)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        taken = []
+        keep = type(df).toArrow
+        try:
+            type(df).toArrow = lambda self: taken.append(keep(self)) or taken[-1]
+            got = g.fit(df, sample_bytes=5000)
+        finally:
+            type(df).toArrow = keep
+        assert [k for k, _ in got] == ["x", "y"] and all(4000 < len(v) <= 5000 for _, v in got)
+        assert sum(len(t) for t in taken[0]["t"].to_pylist()) <= 2 * 10_000
+    assert g.fit(df, sample_bytes=5000) == g.fit(df.repartition(7), sample_bytes=5000)
+    many = spark.createDataFrame([(i, "one two three", "x") for i in range(3000)], "doc_id bigint, text string, lang string")
+    assert len(g.fit(many)[0][1]) > 38_000  # short texts fill the sample, too
