@@ -20,18 +20,21 @@ BROADCAST_ROWS sources.
 Defined cases: a NULL source is a source of its own. A NULL or empty text has size 1. A
 NULL id takes its uniform from the text's digest. Ties of the ratio go by id (NULL last),
 then by the text's digest; equal rows are as many candidates. A source without weight gets no
-place. Other columns are carried untouched whatever their names. An empty table, or a
+place; any weight above 0 counts, taken in proportion to the largest one. Other columns are carried untouched whatever their names. An empty table, or a
 total of 0, gives an empty result.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BUCKETS, SEED, BROADCAST_ROWS = 1 << 16, 20, 50_000
+BUCKETS, SEED, BROADCAST_ROWS, WEIGHT = 1 << 16, 20, 50_000, 10**18
 
 
 def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
@@ -40,16 +43,24 @@ def _uniform(doc_id: Column, text: Column, seed: int) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _whole(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole numbers, the largest WEIGHT; none that is above 0 becomes 0."""
+    if any(not isfinite(v) or v < 0 for v in weights.values()):
+        raise ValueError("weights must be numbers from 0 on")
+    most = max(weights.values(), default=0)
+    return {k: max(1, round(Fraction(v) / Fraction(most) * WEIGHT)) if v else 0 for k, v in weights.items()}
+
+
 def _places(sources: DataFrame, weights: dict[str, float] | None, total: int | None) -> DataFrame:
     """n: how many places each source gets."""
     if weights is None:
         w = F.ceil(F.sqrt("docs"))
     else:
-        pairs = [F.lit(x) for k, v in weights.items() for x in (k, round(v * 1_000_000))]
+        pairs = [F.lit(x) for k, v in _whole(weights).items() for x in (k, v)]
         w = F.coalesce(F.create_map(*pairs)[F.col("src")], F.lit(0)) if pairs else F.lit(0)
-    everything = Window.partitionBy()
-    s = sources.withColumn("w", w.cast("bigint")).withColumn("ww", F.sum("w").over(everything)).where("ww > 0")
-    s = s.withColumn("total", F.sum("docs").over(everything) if total is None else F.lit(total).cast("bigint"))
+    everything = Window.partitionBy()  # over sources, which are counted already
+    s = sources.withColumn("w", w.cast("decimal(19,0)")).withColumn("ww", F.sum("w").over(everything)).where("ww > 0")
+    s = s.withColumn("total", (F.sum("docs").over(everything) if total is None else F.lit(total)).cast("decimal(18,0)"))
     s = s.withColumn("whole", F.expr("total * w div ww")).withColumn("rem", F.expr("total * w % ww"))
     s = s.withColumn("over", F.col("total") - F.sum("whole").over(everything))
     r = F.row_number().over(everything.orderBy(F.desc("rem"), F.col("src").asc_nulls_last()))

@@ -63,3 +63,21 @@ def test_edges(hard, none):
     out = m.mix(hard)
     assert out.columns == hard.columns and out.count() == hard.count()
     assert m.mix(hard, total=5).count() == 5
+
+
+def test_tiny_and_huge_weights(spark):
+    df = spark.createDataFrame([(i, "abc", "a" if i < 50 else "b") for i in range(100)], "doc_id bigint, text string, source string")
+    count = lambda **w: dict(Counter(r.source for r in m.mix(df, **w).collect()))
+    assert count(weights={"a": 1e-7, "b": 3e-7}, total=40) == count(weights={"a": 1e300, "b": 3e300}, total=40) == {"a": 10, "b": 30}
+    places = m._places(spark.createDataFrame([("a", 50, 100), ("b", 50, 100)], "src string, docs bigint, x_all bigint"), {"a": 1e-7, "b": 1.0}, 20_000_000)
+    assert {r.src: r.n for r in places.collect()} == {"a": 2, "b": 19_999_998}
+    with pytest.raises(ValueError):
+        m.sample(df, weights={"a": -1})
+
+
+def test_ties_and_repeated_rows_by_content(spark):
+    rows = [(1, "x", "a", 9)] * 3 + [(None, "b", "a", 1), (None, "a", "a", 2), (2, "x", "a", 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int")
+    got = Counter(tuple(r) for r in m.mix(df, total=3).collect())
+    assert sum(got.values()) == 3 and set(got) <= set(rows)
+    assert got == Counter(tuple(r) for r in m.mix(df.repartition(3), total=3).collect())
