@@ -17,10 +17,10 @@ or role becomes "< |", so that no text can pose as a marker.
 
 Defined cases: events with NULL conv_id, seq or turn, or of another kind, are ignored. A
 row delivered twice counts once. Different events with one seq are applied as message,
-edit, regenerate, delta, and by text. A NULL text is empty; a turn's role is the last that was
+edit, regenerate, delta, then by text, then by turn. A NULL text is empty; a turn's role is the last that was
 given, "user" if none was. A turn without events that count is no message, and a
 conversation without messages is not in the result; a message may be empty. Other columns
-are not read. An empty log gives an empty result.
+are not read. An empty log gives an empty result. A conversation is one row of the result, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -36,10 +36,11 @@ def messages(log: DataFrame) -> DataFrame:
     kind = F.coalesce(*[F.when(F.col("event") == k, i) for i, k in enumerate(KINDS)])
     ev = log.select("conv_id", "turn", F.struct("seq", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role").alias("e"))
     ev = ev.where("conv_id is not null and turn is not null and e.seq is not null and e.kind is not null").repartition("conv_id")
-    turns = ev.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set("e")).alias("events"), F.max(F.when(F.col("e.kind").isin(1, 2), F.col("e.seq"))).alias("cut"))
+    nth = F.struct("e.seq", "e.kind", "e.text", "turn")
+    turns = ev.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set("e")).alias("events"), F.max(F.when(F.col("e.kind").isin(1, 2), nth)).alias("cut"))
     earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("gone", F.max("cut").over(earlier))
-    turns = turns.withColumn("alive", F.when(F.col("gone").isNull(), F.col("events")).otherwise(F.filter("events", lambda e: e.seq > F.col("gone")))).where(F.size("alive") > 0)
+    turns = turns.withColumn("alive", F.when(F.col("gone").isNull(), F.col("events")).otherwise(F.filter("events", lambda e: F.struct(e.seq, e.kind, e.text, F.col("turn")) > F.col("gone")))).where(F.size("alive") > 0)
     last = F.coalesce(F.array_max(F.transform("alive", lambda e, i: F.when(e.kind < 3, i))), F.lit(0))
     said = F.slice("alive", last + 1, F.size("alive"))
     text = F.array_join(F.transform(said, lambda e: F.when(e.kind != 2, e.text).otherwise("")), "")

@@ -78,3 +78,26 @@ def test_log_of_messages_gives_the_messages_again(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = sorted(tuple(r) for r in c.messages(c.as_log(df)).collect())
     assert got == [(a, b, r or "user", t or "") for a, b, r, t in rows]
+
+
+KIND = {"message": 0, "edit": 1, "regenerate": 2, "delta": 3}
+
+
+def test_ties_of_seq_against_brute_force(spark):
+    log = [(1, 4, 1, "message", "assistant", "old"), (1, 5, 0, "edit", "user", "new"), (1, 5, 1, "delta", "assistant", "stays")]
+    r = random.Random(8)
+    for conv in range(2, 80):
+        log += [(conv, r.randint(0, 3), r.randint(0, 3), r.choice(list(KIND)), r.choice(["user", "assistant"]), r.choice(["a", "b", ""])) for _ in range(12)]
+    want = {}
+    for conv in {x[0] for x in log}:
+        state: dict = {}
+        for _, _, turn, event, role, text in sorted({x for x in log if x[0] == conv}, key=lambda x: (x[1], KIND[x[3]], x[5], x[2], x[4])):
+            if event in ("edit", "regenerate"):
+                state = {t: v for t, v in state.items() if t <= turn}
+            state[turn] = {"message": text, "edit": text, "regenerate": "", "delta": state.get(turn, "") + text}[event]
+        want[conv] = sorted(state.items())
+    got = {}
+    for x in c.messages(spark.createDataFrame([(*x, "m") for x in log], LOG)).collect():
+        got.setdefault(x.conv_id, []).append((x.turn, x.text))
+    assert {a: sorted(b) for a, b in got.items()} == {a: b for a, b in want.items() if b}
+    assert sorted(got[1]) == [(0, "new"), (1, "stays")]
