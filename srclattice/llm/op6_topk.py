@@ -1,18 +1,20 @@
-"""Exact top-k search: every vector is a query against all others.
+"""Exact top-k search: queries against all vectors.
 
-Vectors are packed into shards of TILE rows. A task takes one block of queries and a run
-of FAN shards, one tile of queries x shard after another: a matrix product, partial selection
-of the best of the tile, and a merge into the best so far. What the tasks found is merged FAN lists at a
-time until one list for each query is left. Similarity is the cosine.
+Queries and vectors are packed into shards of TILE rows, and BLOCK shards of either are a block; a task takes a block of queries
+and a block of vectors, one tile of query shard x shard after another: a matrix product, partial selection
+of the best of the tile, and a merge into the best so far. Shards are sent once for each block of the other side, by the number
+of the pair of blocks, to as many partitions as there are pairs. What the tasks found is merged FAN lists at a
+time until one list for each query is left. Similarity is the cosine. Without queries every vector is one; the registered query asks
+with those whose id EVERY divides.
 
-Exactness: products are taken in single precision; a tile passes on everything within MARGIN of its
-k-th best, and candidates are scored again in double precision, whose result does not
+Exactness: products are taken in single precision; a tile passes on everything within `margin` (by the dimension, twice the rounding error that
+such a product can have) of its k-th best, and candidates are scored again in double precision, whose result does not
 depend on where in a tile a pair lay. Ranks are by that score, then by the smaller id.
 
-Defined cases: a vector is no neighbour of itself, but a repeated row is one of its copy. NULL
+Defined cases: a vector is no neighbour of itself, but a repeated row is one of its copy; of n equal queries each is asked. NULL
 ids, NULL and empty vectors, and those with NULL, NaN or infinite elements are neither queries nor
 neighbours. Vectors of different lengths are not compared. A zero vector has similarity 0
-to all. With fewer than k others a query has fewer neighbours. Other columns are not read.
+to all. With fewer than k others a query has fewer neighbours. Ids are integers; others are an error before anything runs. Other columns are not read.
 An empty table gives an empty result.
 """
 
@@ -22,10 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Scratch
 
-K, TILE, FAN, MARGIN = 10, 2048, 8, 1e-5
+K, TILE, BLOCK, FAN, EVERY = 10, 2048, 8, 8, 50
+#: Pairs of blocks that there should be at least, so that a small search keeps all cores busy.
+PAIRS = 48
 BEST = "dim int, q int, part int, ids binary, near binary, score binary"
 
 
@@ -35,7 +40,7 @@ def _pack(t: pa.Table) -> pa.Table:
     v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     norm = np.sqrt(np.einsum("ij,ij->i", v, v))
     v = v / np.where(norm > 0, norm, 1)[:, None]
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([t["shard"][0].as_py()], pa.int32()), "ids": [t["id"].to_numpy().tobytes()], "vecs": [v.tobytes()]})
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([t["shard"][0].as_py()], pa.int32()), "ids": [t["id"].to_numpy().tobytes()], "rows": [t["row"].to_numpy().tobytes()], "vecs": [v.tobytes()]})
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,19 +49,23 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def tile(q: np.ndarray, s: np.ndarray, s_ids: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The best of one tile: (score, id), rows padded with -inf."""
+def margin(dim: int) -> float:
+    """Twice the error of a product of unit vectors in single precision: rounding of the elements and of dim terms."""
+    return 2.2 * (dim + 3) * 2.0**-24
+
+
+def tile(q: np.ndarray, s: np.ndarray, s_ids: np.ndarray, k: int, same: np.ndarray | bool, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The best of one tile: (score, id), rows padded with -inf. same: of each query its own row in s, -1 for none (True: the row with its number); floor: what a score must reach."""
     x = q.astype(np.float32) @ s.astype(np.float32).T
-    if same:
-        np.fill_diagonal(x, -np.inf)
-    n = x.shape[1]
-    if n <= k:
-        keep = np.ones(x.shape, bool)
-    else:
-        keep = x >= np.partition(x, n - k, 1)[:, n - k, None] - np.float32(MARGIN)
-    if same:
-        np.fill_diagonal(keep, False)
-    r, c = np.nonzero(keep)
+    own = np.arange(len(q)) if same is True else np.full(len(q), -1) if same is False else same
+    has = np.flatnonzero(own >= 0)
+    x[has, own[has]] = -np.inf
+    n, near = x.shape[1], np.float32(margin(q.shape[1]))
+    least = np.full(len(q), -2, np.float32) if floor is None else np.maximum(floor, -2).astype(np.float32) - near
+    rows = np.flatnonzero(least < -1.5)  # nothing to compare with yet
+    if n > k and len(rows):
+        least[rows] = np.partition(x[rows], n - k, 1)[:, n - k] - near
+    r, c = np.nonzero(x >= least[:, None])
     exact = np.empty(len(r))
     for lo in range(0, len(r), 200_000):
         exact[lo : lo + 200_000] = (q[r[lo : lo + 200_000]] * s[c[lo : lo + 200_000]]).sum(1)
@@ -71,15 +80,21 @@ def tile(q: np.ndarray, s: np.ndarray, s_ids: np.ndarray, k: int, same: bool) ->
 
 def _run(k: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ids = np.frombuffer(t["q_ids"][0].as_py(), np.int64)
-        q = np.frombuffer(t["q_vecs"][0].as_py(), np.float64).reshape(len(ids), -1)
-        top, near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-        for i in range(t.num_rows):
-            s_ids = np.frombuffer(t["s_ids"][i].as_py(), np.int64)
-            s = np.frombuffer(t["s_vecs"][i].as_py(), np.float64).reshape(len(s_ids), -1)
-            a, b = tile(q, s, s_ids, k, t["q"][i].as_py() == t["s"][i].as_py())
-            top, near = best(np.hstack([top, a]), np.hstack([near, b]), k)
-        return _row(key[0].as_py(), key[1].as_py(), key[2].as_py(), ids, near, top)
+        dim, part = key[0].as_py(), key[2].as_py()
+        side, out = t["side"].to_pylist(), []
+        unpack = lambda i: (t["shard"][i].as_py(), *(np.frombuffer(t[c][i].as_buffer(), np.int64) for c in ("ids", "rows")), np.frombuffer(t["vecs"][i].as_buffer(), np.float64).reshape(-1, dim))
+        for i in [i for i, x in enumerate(side) if x == 0]:
+            shard, ids, rows, q = unpack(i)
+            top, near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+            for j in [j for j, x in enumerate(side) if x == 1]:
+                _, s_ids, s_rows, s = unpack(j)
+                order = np.argsort(s_rows, kind="stable")
+                at = np.searchsorted(s_rows[order], rows)
+                own = np.where((at < len(s_rows)) & (s_rows[order[np.minimum(at, len(s_rows) - 1)]] == rows), order[np.minimum(at, len(s_rows) - 1)], -1)
+                a, b = tile(q, s, s_ids, k, own, top[:, -1])
+                top, near = best(np.hstack([top, a]), np.hstack([near, b]), k)
+            out.append(_row(dim, shard, part, ids, near, top))
+        return pa.concat_tables(out) if out else _row(dim, 0, part, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)).slice(0, 0)
 
     return run
 
@@ -113,32 +128,46 @@ def _rows(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", tile_rows: int = TILE) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score) for every vector."""
-    scratch = Scratch(vectors.sparkSession)
+def top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", tile_rows: int = TILE, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score) for every vector whose id `every` divides."""
+    if not isinstance(vectors.schema[vec_id].dataType, IntegralType):
+        raise ValueError(f"{vec_id} must be an integer")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
     v = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(F.col("id").isNotNull() & (F.size("v") > 0) & sound).withColumn("dim", F.size("v")).withColumn("row", F.xxhash64("v"))
-    sizes = {r.dim: max(1, -(-r.n // tile_rows)) for r in v.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    v = v.where(F.col("id").isNotNull() & (F.size("v") > 0) & sound).withColumn("dim", F.size("v"))
+    asked = F.col("id") % every == 0
+    sizes = {r.dim: (-(-r.q // tile_rows), -(-r.n // tile_rows)) for r in v.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).collect() if r.q}
     if not sizes:
-        return vectors.sparkSession.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, score double")
-    shards = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("dim")]
-    v = v.withColumn("shard", F.pmod(F.xxhash64("id", "row"), shards).cast("int"))
-    packed = scratch.save(v.groupBy("dim", "shard").applyInArrow(_pack, "dim int, shard int, ids binary, vecs binary"), "shards")
-    q = packed.select("dim", F.col("shard").alias("q"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    s = packed.select("dim", F.col("shard").alias("s"), F.col("ids").alias("s_ids"), F.col("vecs").alias("s_vecs"))
-    tiles = q.join(s, "dim").withColumn("part", (F.col("s") / FAN).cast("int"))
-    out = scratch.save(tiles.groupBy("dim", "q", "part").applyInArrow(_run(k), BEST), "tiles")
-    parts = max(-(-n // FAN) for n in sizes.values())
-    while parts > 1:
+        return spark.createDataFrame([], "vec_id bigint, rank int, neighbor_id bigint, score double")
+    by_dim = lambda of: F.create_map(*[F.lit(x) for dim, n in sizes.items() for x in (dim, of(*n))])[F.col("dim")]
+    # a number of its own for every row, so that a query knows itself among equal rows; written, as it would differ when run again
+    v = scratch.save(v.where(F.col("dim").isin(*sizes)).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    spread = F.xxhash64("id", "row")
+    shards = {}
+    for name, rows, of in (("queries", v.where(asked), lambda q, n: q), ("shards", v, lambda q, n: n)):
+        packed = rows.withColumn("shard", F.pmod(spread, by_dim(of)).cast("int")).groupBy("dim", "shard").applyInArrow(_pack, "dim int, shard int, ids binary, rows binary, vecs binary")
+        shards[name] = scratch.save(packed, name)
+    side = lambda q, n: max(1, min(BLOCK, q * n // PAIRS))  # noqa: E731  shards in a block of vectors
+    parts = lambda q, n: -(-n // side(q, n))
+    blocks = lambda q, n: -(-q // BLOCK)
+    every_part, every_block = (F.explode(F.sequence(F.lit(0), by_dim(x) - 1)) for x in (parts, blocks))
+    q = shards["queries"].select("dim", F.floor(F.col("shard") / BLOCK).cast("int").alias("block"), every_part.alias("part"), F.lit(0).alias("side"), "shard", "ids", "rows", "vecs")
+    s = shards["shards"].select("dim", every_block.alias("block"), F.floor(F.col("shard") / by_dim(side)).cast("int").alias("part"), F.lit(1).alias("side"), "shard", "ids", "rows", "vecs")
+    pairs = sum(blocks(*n) * parts(*n) for n in sizes.values())
+    cells = q.unionByName(s).repartition(min(2 * pairs, 20_000), "dim", "block", "part")  # a number that is given is not coalesced
+    out = scratch.save(cells.groupBy("dim", "block", "part").applyInArrow(_run(k), BEST), "tiles")
+    left = max(parts(*n) for n in sizes.values())
+    while left > 1:
         out = out.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("dim", "q", "part").applyInArrow(_merge(k), BEST)
-        parts = -(-parts // FAN)
+        left = -(-left // FAN)
     return out.select("ids", "near", "score").mapInArrow(_rows(k), "vec_id bigint, rank int, neighbor_id bigint, score double")
 
 
 SQL = f"""
 with v as (select vec_id, embedding::double[] e from embeddings),
-p as (select a.vec_id, b.vec_id as neighbor_id, list_cosine_similarity(a.e, b.e) score from v a join v b on a.vec_id <> b.vec_id),
+p as (select a.vec_id, b.vec_id as neighbor_id, list_cosine_similarity(a.e, b.e) score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0),
 r as (select *, row_number() over (partition by vec_id order by round(score, 9) desc, neighbor_id) rank from p)
 select vec_id, rank::int as rank, neighbor_id, round(score, 6) as score from r where rank <= {K}
 """

@@ -28,7 +28,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_exact_topk(spark, sf_dir):
-    return op6_topk.top_k(table(ship(spark), sf_dir, "embeddings"))
+    return op6_topk.top_k(table(ship(spark), sf_dir, "embeddings"), every=op6_topk.EVERY)
 
 
 def op7_chat_format(spark, sf_dir):

@@ -35,6 +35,38 @@ def test_topk_edges(spark):
     assert k.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim,every,tile", [(3, 5, 16), (300, 2, 64), (64, 50, 32)])
+def test_some_queries_and_many_blocks(spark, monkeypatch, dim, every, tile):
+    monkeypatch.setattr(k, "BLOCK", 2)
+    monkeypatch.setattr(k, "PAIRS", 1)
+    monkeypatch.setattr(k, "FAN", 2)
+    rng = np.random.default_rng(dim)
+    v = np.round(rng.normal(size=(400, dim)), 2)
+    v[100:120] = v[0]  # ties, in several shards
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, embedding array<double>")
+    got = {(r.vec_id, r["rank"]): r.neighbor_id for r in k.top_k(df, 7, tile_rows=tile, every=every).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    x = u @ u.T
+    want = {}
+    for i in range(0, 400, every):
+        for r, j in enumerate(sorted((j for j in range(400) if j != i), key=lambda j: (-round(x[i, j], 12), j))[:7]):
+            want[i, r + 1] = j
+    assert {a for a in want if x[a[0], got[a]] < x[a[0], want[a]] - 1e-12} == set() and got.keys() == want.keys()
+    assert got == want
+
+
+def test_the_margin_covers_single_precision():
+    for dim in (2, 64, 1000, 20_000):
+        r = np.random.default_rng(dim)
+        q, s = (x / np.linalg.norm(x, axis=1)[:, None] for x in (r.random((20, dim)) + 5, r.random((20, dim)) + 5))
+        assert np.abs(q.astype(np.float32) @ s.astype(np.float32).T - q @ s.T).max() * 2 <= k.margin(dim)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError):
+        k.top_k(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
 LOG = "conv_id bigint, seq bigint, turn bigint, event string, role string, text string, m string"
 
 
