@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="srclattice-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -68,12 +72,18 @@ class Scratch:
                 pass
 
 
+def beside(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A table for one side of a join: it goes to every executor if it has that many rows at most; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM collects their handles; ask for that between large steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+@lru_cache(1)
 def _frugal() -> None:
     """Python workers live on between tasks: have freed arrays go back to the system at once, rather than into pools."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -83,7 +93,6 @@ def _frugal() -> None:
         pass  # another C library
 
 
-_frugal()
 _held: list = []
 
 
@@ -102,6 +111,7 @@ def tidied(run, forget=None):
     """
 
     def tidy_run(batches):
+        _frugal()  # in workers only
         _claim(forget)
         try:
             yield from run(batches)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, beside
 from .op2_urls import DOMAIN, HOST, domain_of, host_of
 from .priors import low_bound, strength, strength_sql
 
@@ -50,12 +51,13 @@ def measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, domain, broken, domain_docs, domain_failures, rate, bound, good) of every document."""
     broken = F.array_join(F.filter(F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in RULES.items()]), lambda x: x.isNotNull()), ",")
-    each = measured(docs, doc_id, text, source).select("doc_id", "domain", broken.alias("broken"))
+    scratch = Scratch(docs.sparkSession)
+    each = scratch.save(measured(docs, doc_id, text, source).select("doc_id", "domain", broken.alias("broken")), "broken")  # texts are measured once
     domains = each.groupBy("domain").agg(F.count("*").alias("dn"), F.sum(F.when(F.col("broken") != "", 1).otherwise(0)).alias("df"))
     prior = domains.agg(strength("dn", "df").alias("m"), ((F.coalesce(F.sum("df"), F.lit(0)) + 1) / (F.coalesce(F.sum("dn"), F.lit(0)) + 2)).alias("p"))
     a, b = F.col("m") * F.col("p") + F.col("df"), F.col("m") * (1 - F.col("p")) + F.col("dn") - F.col("df")
     verdicts = domains.crossJoin(F.broadcast(prior)).select("domain", F.col("dn").alias("domain_docs"), F.col("df").cast("bigint").alias("domain_failures"), F.round(a / (a + b), 6).alias("rate"), F.round(low_bound(a, b, Z), 6).alias("bound"))
-    return each.join(verdicts, "domain").select("doc_id", "domain", "broken", "domain_docs", "domain_failures", "rate", "bound", (F.col("bound") <= max_rate).alias("good"))
+    return each.join(beside(scratch.save(verdicts, "verdicts")), "domain").select("doc_id", "domain", "broken", "domain_docs", "domain_failures", "rate", "bound", (F.col("bound") <= max_rate).alias("good"))
 
 
 def keep_good_hosts(docs: DataFrame, **how) -> DataFrame:

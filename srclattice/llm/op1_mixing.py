@@ -32,7 +32,7 @@ from math import isfinite
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, beside
 
 BUCKETS, SEED, BROADCAST_ROWS, WEIGHT = 1 << 16, 20, 50_000, 10**18
 
@@ -69,7 +69,7 @@ def _places(sources: DataFrame, weights: dict[str, float] | None, total: int | N
 
 def _beside(sources: DataFrame) -> DataFrame:
     """A table with a row for each source goes to every executor if it has BROADCAST_ROWS rows at most; else the join shuffles."""
-    return F.broadcast(sources) if sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sources
+    return beside(sources, BROADCAST_ROWS)
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

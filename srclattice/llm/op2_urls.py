@@ -7,7 +7,8 @@ by moments at each level. A page is kept if its host's posterior mean less Z pos
 standard deviations is MIN_GOOD or more.
 
 A label belongs to the page whose page_id is its doc_id; quality 1 is a good outcome.
-Suffixes of two labels are recognised by the pattern co|com|org|net|ac|gov|edu + country.
+Suffixes of two labels are those of SECOND + country (co.uk, gob.mx), and SHARED, under which
+everybody has a domain of his own (github.io); there is no list of all public suffixes in here.
 
 Defined cases: a URL that is NULL or has no host belongs to the host '' (likewise domain
 and suffix), which is judged like any other. An IPv4 address is its own domain, suffix ''.
@@ -21,11 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, beside
 from .priors import low_bound, strength, strength_sql
 
 Z, MIN_GOOD = 1.645, 0.5
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
-DOMAIN = r"([^.]+\.(?:(?:co|com|org|net|ac|gov|edu)\.[a-z][a-z]|[^.]+))$"
+SECOND = "co|com|org|net|ac|gov|edu|mil|sch|ltd|plc|ne|or|go|gob|gouv|gub".split("|")
+SHARED = "github.io gitlab.io blogspot.com wordpress.com tumblr.com herokuapp.com appspot.com netlify.app vercel.app pages.dev web.app weebly.com wixsite.com".split()
+DOMAIN = rf"([^.]+\.(?:(?:{'|'.join(SECOND)})\.[a-z][a-z]|{'|'.join(x.replace('.', chr(92) + '.') for x in SHARED)}|[^.]+))$"
 
 
 def host_of(url: Column) -> Column:
@@ -33,7 +37,7 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    d = F.regexp_extract(host, DOMAIN, 1)
+    d = F.regexp_extract(host, DOMAIN, 1)  # the leftmost match, so the longest suffix
     return F.when(host.rlike(r"^[0-9.]+$") | (d == ""), host).otherwise(d)
 
 
@@ -46,8 +50,9 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("g"))
     known = pages.select("page_id", host_of(F.col("url")).alias("host")).join(lab, F.col("page_id") == lab.doc_id, "left")
     hosts = known.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hn"), F.coalesce(F.sum("g"), F.lit(0)).alias("hg"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("hn").alias("dn"), F.sum("hg").alias("dg"))
+    scratch = Scratch(pages.sparkSession)
+    hosts = scratch.save(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")  # read four times
+    domains = scratch.save(hosts.groupBy("suffix", "domain").agg(F.sum("hn").alias("dn"), F.sum("hg").alias("dg")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dg").alias("sg"))
     overall = suffixes.agg(((F.coalesce(F.sum("sg"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("p0"), strength("sn", "sg").alias("ms"))
     fitted = overall.crossJoin(domains.agg(strength("dn", "dg").alias("md"))).crossJoin(hosts.agg(strength("hn", "hg").alias("mh")))
@@ -58,14 +63,19 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return h.select("host", "domain", "suffix", F.col("hn").alias("labelled"), F.col("hg").alias("good"), F.round(a / (a + b), 6).alias("mean"), F.round(low_bound(a, b, Z), 6).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, min_good: float = MIN_GOOD) -> DataFrame:
-    """(page_id, host, domain, suffix, mean, bound, keep) of every page."""
+def judged_urls(pages: DataFrame, labels: DataFrame, min_good: float = MIN_GOOD) -> DataFrame:
+    """(page_id, host, domain, suffix, labelled, good, mean, bound, keep) of every page."""
     pages = pages.select("page_id", "url")
-    r = reputations(pages, labels)
-    out = pages.select("page_id", host_of(F.col("url")).alias("host")).join(r, "host")
+    r = Scratch(pages.sparkSession).save(reputations(pages, labels), "reputations")
+    out = pages.select("page_id", host_of(F.col("url")).alias("host")).join(beside(r), "host")
     return out.select("page_id", "host", "domain", "suffix", "labelled", "good", "mean", "bound", (F.col("bound") >= min_good).alias("keep"))
 
 
+def filter_urls(pages: DataFrame, labels: DataFrame, min_good: float = MIN_GOOD) -> DataFrame:
+    """(page_id, host, domain, suffix, labelled, good, mean, bound) of the pages that stay."""
+    return judged_urls(pages, labels, min_good).where("keep").drop("keep")
+
+
 SQL = f"""
 with p as (select page_id, rtrim(regexp_extract(lower(url), '{HOST}', 1), '.') host from pages),
 l as (select doc_id, count(*) n, sum(case when quality = 1 then 1 else 0 end) g from labels where quality is not null group by doc_id),
@@ -82,5 +92,5 @@ sp as (select suffix, (ms * p0 + sg) / (ms + sn) sp from s, f, ms),
 dp as (select domain, (md * sp + dg) / (md + dn) dp from d join sp using (suffix), md),
 ab as (select host, h.domain, suffix, hn, hg, mh * dp + hg a, mh * (1 - dp) + hn - hg b from h join dp on dp.domain = h.domain, mh),
 r as (select *, round(a / (a + b), 6) mean, round(a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) bound from ab)
-select page_id, host, domain, suffix, hn as labelled, hg as good, mean, bound, bound >= {MIN_GOOD} as keep from p join r using (host)
+select page_id, host, domain, suffix, hn as labelled, hg as good, mean, bound from p join r using (host) where bound >= {MIN_GOOD}
 """

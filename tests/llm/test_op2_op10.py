@@ -13,6 +13,18 @@ def test_hosts(spark):
     assert got == [("blog.a.co.uk", "a.co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1", ""), ("localhost", "localhost", ""), ("", "", ""), ("", "", ""), ("b.org", "b.org", "org")]
 
 
+def test_shared_suffixes(spark):
+    df = spark.createDataFrame([("me.github.io",), ("a.b.gob.mx",), ("x.y.blogspot.com",), ("github.io",), ("www.info.de",)], "h string")
+    assert [r[0] for r in df.select(u.domain_of(df.h)).collect()] == ["me.github.io", "b.gob.mx", "y.blogspot.com", "github.io", "info.de"]
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    long = "http://h.example.org/" + "x" * 2_000_000
+    p = spark.createDataFrame([(1, long, "a", 1.0), (2, "http://" + "a" * 100_000 + ".org", "b", 2.0)], "page_id bigint, url string, domain string, bound double")
+    la = spark.createDataFrame([(1, 1, "z")], "doc_id bigint, quality int, host string")
+    assert sorted((r.page_id, r.domain[-11:]) for r in u.judged_urls(p, la).collect()) == [(1, "example.org"), (2, "aaaaaaa.org")]
+
+
 def test_bad_hosts_go_and_small_ones_lean_on_their_domain(spark):
     rows, labels = [], []
     for i in range(600):
@@ -22,8 +34,8 @@ def test_bad_hosts_go_and_small_ones_lean_on_their_domain(spark):
             labels.append((i, int(i % 30 >= 10 or i % 7 == 0), 0))
     rows += [(900, "http://new.bad.com/"), (901, "http://new.good.com/")]
     p, la = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    got = {r.page_id: r.keep for r in u.filter_urls(p, la).collect()}
-    assert len(got) == 602 and not got[0] and got[11] and not got[900] and got[901]
+    got = {r.page_id: r.keep for r in u.judged_urls(p, la).collect()}
+    assert {r.page_id for r in u.filter_urls(p, la).collect()} == {i for i, keep in got.items() if keep} and len(got) == 602 and not got[0] and got[11] and not got[900] and got[901]
     c = duckdb.connect()
     for n, df in (("pages", p), ("labels", la)):
         c.register(n, df.toPandas())
@@ -33,8 +45,8 @@ def test_bad_hosts_go_and_small_ones_lean_on_their_domain(spark):
 def test_url_edges(spark):
     p = spark.createDataFrame([(1, None, 1), (1, "", 1), (None, "http://a.b/", 2), (3, "http://a.b/", 2), (3, "http://a.b/", 2)], "page_id bigint, url string, host int")
     la = spark.createDataFrame([(None, 1), (3, None), (3, 1), (3, 0)], "doc_id bigint, quality int")
-    assert u.filter_urls(p, la).count() == 5
-    assert u.filter_urls(p, la.limit(0)).count() == 5 and u.filter_urls(p.limit(0), la).count() == 0
+    assert u.judged_urls(p, la).count() == 5
+    assert u.judged_urls(p, la.limit(0)).count() == 5 and u.filter_urls(p.limit(0), la).count() == 0
 
 
 def test_rules_and_verdicts(spark):
@@ -54,6 +66,8 @@ def test_rules_and_verdicts(spark):
 def test_rule_edges(hard, none):
     assert h.keep_good_hosts(none).count() == 0
     assert h.judged(hard).count() == hard.count()
+    broken = {r.doc_id: r.broken for r in h.judged(hard).where("doc_id > 3").collect()}
+    assert broken == {4: "short", 5: "short", 6: "short", 7: "short,symbols", 8: "", 9: "", 10: "short", 11: "short"}
 
 
 @pytest.mark.parametrize("groups,lo,hi", [([(10, 5)] * 5, 1000, 1000), ([(50, 50), (50, 0)], 2, 2), ([], 1000, 1000)])
