@@ -7,7 +7,8 @@ else, and where a sign or number follows a letter. So texts are cut there, equal
 encoded by the library once, and ids are put together again;
 texts with white space beyond ASCII, where that cut may be wrong, are encoded whole. Every
 text is decoded again and compared; should two pieces ever share a hash, the text is
-encoded whole as well. The result is that of the library.
+encoded whole as well. So is every text where the file has another pattern, a normaliser or a prefix space. The result is that of the library.
+A file that is no byte-level BPE is an error.
 
 Offsets are characters of the text. A token is bytes from the end of the one before to its
 own end, and a character begins at each byte that is no continuation byte. `starts` has
@@ -21,12 +22,14 @@ no UTF-8 (ids cut off inside a character) become U+FFFD, as the library does it.
 
 Defined cases: a NULL text has NULL ids and offsets, an empty one none. Strings of
 special tokens in a text are ordinary text. Ids and texts of any number and length are taken; every row is encoded,
-repeated ones too. Decoding takes NULL ids as NULL; an id that the vocabulary lacks is an
+repeated ones too. Ids of rows are of any type. Decoding takes NULL ids as NULL; an id that the vocabulary lacks is an
 error. Other columns than the named ones are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from functools import lru_cache
 
@@ -35,6 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import ragged, slices, tidied, utf8, word_hashes
 
@@ -80,6 +84,12 @@ class Codec:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        said = json.loads(self.tok.to_str())
+        before = said["pre_tokenizer"] or {}
+        if said["model"]["type"] != "BPE" or said["model"].get("end_of_word_suffix") or said["model"].get("continuing_subword_prefix") or "ByteLevel" not in json.dumps(before) or not set("".join(self.tok.get_vocab(False))) <= set(_BYTE_OF):
+            raise ValueError(f"{path} is no byte-level BPE")
+        #: Whether texts may be cut as _PARTS does.
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not said["normalizer"]
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         words = {i: w for w, i in self.tok.get_vocab(True).items()}
         self.bytes = [special[i].encode() if i in special else bytes(_BYTE_OF[c] for c in words[i]) if i in words else b"" for i in range(max(words) + 1)]
@@ -118,6 +128,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
+        if not self.cuts:
+            lists = self._encode(texts)
+            return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
         data, off = utf8(texts)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
@@ -162,9 +175,9 @@ class Codec:
         """The bytes of the tokens, one after another."""
         return self.flat[ragged(self.at[ids], self.sizes[ids])]
 
-    def decode(self, lists: list[list[int]]) -> list[str]:
+    def decode(self, lists: list) -> list[str]:
         count = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter((i for x in lists for i in x), np.int64, int(count.sum()))
+        ids = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.known[ids].all()):
             raise ValueError("an id that the vocabulary lacks")
         raw = self.joined(ids).tobytes()
@@ -194,7 +207,9 @@ def _forget() -> None:
     codec.cache_clear()
 
 
-def _encoded(path: str):
+def _encoded(path: str, again: bool):
+    """again: also the digest of each text as it is decoded from its ids."""
+
     def run(batches):
         c = codec(path)
         for b in batches:
@@ -211,15 +226,24 @@ def _encoded(path: str):
                 soff = np.searchsorted(at, ends).astype(np.int32)
                 soff = pa.array(soff, mask=np.append(null, False)) if null.any() else pa.array(soff)
                 lists = [pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(starts)), pa.ListArray.from_arrays(soff, pa.array((at - ends[d]).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([ids_col.slice(lo, hi - lo), pa.array(each, mask=null), *lists], ["doc_id", "n_tokens", "ids", "starts", "split"])
+                names = ["doc_id", "n_tokens", "ids", "starts", "split"]
+                if again:
+                    back = c.decode(np.split(ids, ends[1:-1]))
+                    lists.append(pa.array([None if n else hashlib.md5(t.encode()).hexdigest() for n, t in zip(null.tolist(), back)], pa.string()))
+                    names.append("decoded_md5")
+                yield pa.RecordBatch.from_arrays([ids_col.slice(lo, hi - lo), pa.array(each, mask=null), *lists], names)
 
     return run
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids, starts, split) of every document."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(tidied(_encoded(vocabulary), _forget), "doc_id bigint, n_tokens bigint, ids array<int>, starts array<int>, split array<int>")
+TOKENS = "n_tokens bigint, ids array<int>, starts array<int>, split array<int>"
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, again: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids, starts, split) of every document; again: and decoded_md5, of the text that the ids decode to."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    out = StructType([StructField("doc_id", rows.schema["id"].dataType), *StructType.fromDDL(TOKENS + ", decoded_md5 string" * again)])
+    return rows.mapInArrow(tidied(_encoded(vocabulary, again), _forget), out)
 
 
 def ends(starts, split, n_chars) -> list[int]:
@@ -241,4 +265,5 @@ def _decoded(path: str):
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) again."""
-    return encoded.select("doc_id", "ids").mapInArrow(tidied(_decoded(vocabulary), _forget), "doc_id bigint, text string")
+    rows = encoded.select("doc_id", "ids")
+    return rows.mapInArrow(tidied(_decoded(vocabulary), _forget), StructType([rows.schema["doc_id"], StructField("text", StringType())]))

@@ -16,7 +16,7 @@ def op2_url_reputation(spark, sf_dir):
 
 
 def op3_byte_bpe(spark, sf_dir):
-    return op3_bpe.encode(table(ship(spark), sf_dir, "documents"))
+    return op3_bpe.encode(table(ship(spark), sf_dir, "documents"), again=True)
 
 
 def op4_language_id(spark, sf_dir):

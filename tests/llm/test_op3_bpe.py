@@ -58,3 +58,38 @@ def test_table(spark, hard, none):
     null = e.where("doc_id = 4").first()
     assert null.ids is None and null.n_tokens is None and e.where("doc_id = 5").first().ids == []
     assert b.encode(none).count() == 0 and b.decode(b.encode(none)).count() == 0
+
+
+def test_the_text_comes_back(spark, hard):
+    from pyspark.sql import functions as F
+
+    same = b.encode(hard, again=True).select("doc_id", "decoded_md5").exceptAll(hard.select("doc_id", F.md5(F.col("text").cast("binary"))))
+    assert same.count() == 0
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.text) for r in b.decode(b.encode(df)).collect()) == [("", "three"), ("a", "one two")]
+
+
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}, "lower"])
+def test_other_patterns_are_those_of_the_file(tmp_path, change):
+    import json
+
+    said = json.load(open(b.VOCABULARY))
+    if change == "lower":
+        said["normalizer"] = {"type": "Lowercase"}
+    else:
+        said["pre_tokenizer"] = said["pre_tokenizer"] | change
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(said))
+    c = b.Codec(str(path))
+    ids, each = c.encode(TRICKY)
+    assert ids.tolist() == [i for t in TRICKY for i in c.tok.encode(t, add_special_tokens=False).ids] and not c.cuts
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    other = os.path.join(os.path.dirname(b.VOCABULARY), "word_bpe_49k.json")
+    if os.path.exists(other):
+        with pytest.raises(ValueError):
+            b.Codec(other)
