@@ -11,7 +11,10 @@ themselves, read from the texts, never estimated from signatures.
 Groups of thousands of copies do not make millions of pairs: in each bucket all members
 are first held against the bucket's smallest member; connected components follow; only
 where a bucket still holds several components are their members compared across
-components. The result is the same as if every pair of every bucket were verified.
+components. Where that bucket has more than WIDE members (as texts with one passage in common
+may, which are not near copies), pairs do not come from the bucket but from an exact prefix filter over
+its texts: of two texts that are similar enough the rarest runs, |x| - ceil(t|x|) + 1 of each, have one in common, so only texts that share
+such a rare run, and whose sizes allow it, are compared. The result has every link that verifying every pair of every bucket would give.
 
 Defined cases: a NULL text, or one without letters and digits, is never a duplicate and
 stays. Of equal rows, or rows with equal ids, one stays like of any other copies. The
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, M1, M2, M3, Scratch, mix, slices, text_key, tidied, word_hashes, word_spans
 
-UNIVERSE, COORDINATES, BANDS, THRESHOLD, RUN = 1 << 20, 128, 32, 0.6, 3
+UNIVERSE, COORDINATES, BANDS, THRESHOLD, RUN, WIDE = 1 << 20, 128, 32, 0.6, 3, 64
 _WORD = re.compile("[0-9a-z\u0080-\U0010ffff]+")
 
 
@@ -139,27 +143,58 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataF
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _runs_of(batches):
+    """The runs of each text, as hashes, and how many there are."""
+    for b in batches:
+        for i, (key, text) in enumerate(zip(b.column("key").to_pylist(), b.column("text").to_pylist())):
+            h = np.array(sorted({hash_run(r) for r in shingles(text)}), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.binary()), pa.array(h), pa.array(np.full(len(h), len(h), np.int32))], ["key", "run", "size"])
+
+
+def hash_run(run: tuple) -> int:
+    return int.from_bytes(blake2b("\x00".join(run).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _alike(scratch: Scratch, wide: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(c, m): pairs of texts of different components that an exact prefix filter leaves; wide has (key, comp)."""
+    runs = scratch.save(wide.select("key").join(texts, "key").mapInArrow(tidied(_runs_of), "key binary, run bigint, size int"), "runs")
+    rare = Window.partitionBy("key").orderBy("often", "run")
+    nth = runs.join(runs.groupBy("run").agg(F.count("*").alias("often")).where("often > 1"), "run", "left").fillna(1, ["often"]).withColumn("r", F.row_number().over(rare))
+    head = nth.where((F.col("often") > 1) & (F.col("r") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1)).select("key", "run", "size").join(wide, "key")
+    head = scratch.save(head, "heads")
+    x, y = head.toDF("c", "run", "sx", "cc"), head.toDF("m", "run", "sy", "cm")
+    near = (F.least("sx", "sy") + 1e-9 >= F.greatest("sx", "sy") * threshold) & (F.col("c") < F.col("m")) & (F.col("cc") != F.col("cm"))
+    return x.join(y, "run").where(near).select("c", "m").distinct()
+
+
 def near_groups(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(node, comp) of text keys: texts that belong to the component of another, smaller key."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).where("key is not null")
-    bucket = Window.partitionBy("band")
     exploded = keyed.mapInArrow(tidied(_bands_of, _forget), "key binary, bands array<bigint>").select("key", F.explode("bands").alias("band"))
-    members = scratch.save(
-        exploded.withColumn("c", F.min("key").over(bucket)).withColumn("top", F.max("key").over(bucket)).where("c != top").select("band", "key", "c").distinct(), "members"
-    )
+    banded = scratch.save(exploded.distinct(), "banded")  # copies of a text are one member
+    ends = banded.groupBy("band").agg(F.min("key").alias("c"), F.max("key").alias("top")).where("c != top").select("band", "c")
+    members = scratch.save(banded.join(ends, "band").select("band", "key", "c"), "members")
+    scratch.drop(banded)
     tried = scratch.save(members.where("key != c").select("c", F.col("key").alias("m")).distinct(), "tried")
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
     good = scratch.save(verify(texts, tried, threshold), "verified")
     comp = components(spark, scratch, good)
     # Buckets that still hold several components: all pairs across components, but those already tried.
     placed = members.select("band", "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
-    mixed = scratch.save(placed.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).where("lo != hi").select("band", "key", "comp"), "mixed")
-    x, y = mixed.toDF("band", "c", "cc"), mixed.toDF("band", "m", "cm")
-    rest = x.join(y, "band").where("c < m and cc != cm").select("c", "m").distinct()
+    placed = scratch.save(placed, "placed")
+    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "n")
+    mixed = scratch.save(placed.join(several, "band"), "mixed")
+    few = mixed.where(F.col("n") <= WIDE).drop("n")
+    x, y = few.toDF("band", "c", "cc"), few.toDF("band", "m", "cm")
+    rest = x.join(y, "band").where("c < m and cc != cm").select("c", "m")
+    many = scratch.save(mixed.where(F.col("n") > WIDE).select("key", "comp").distinct(), "wide")
+    if not many.isEmpty():
+        rest = rest.unionByName(_alike(scratch, many, texts, threshold))
+    rest = rest.distinct()
     rest = scratch.save(rest.join(tried, ["c", "m"], "left_anti"), "rest")
-    scratch.drop(members, mixed)
+    scratch.drop(members, placed, mixed, many)
     if not rest.isEmpty():
         more = scratch.save(verify(texts, rest, threshold), "verified")
         if not more.isEmpty():

@@ -64,7 +64,9 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("wide", [64, 1])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, wide):
+    monkeypatch.setattr(m, "WIDE", wide)
     r, docs = random.Random(7), []
     for g in range(25):
         base = words(1000 + g, r.randint(60, 200)).split()
@@ -114,3 +116,16 @@ def test_minhash_edges(hard, none):
     assert {(r.doc_id, r.dup_of) for r in m.near_duplicates(hard).collect()} == {(9, 1), (2, 2)}
     out = m.drop_near_duplicates(hard)
     assert out.columns == hard.columns and out.count() == hard.count() - 2
+
+
+def test_texts_with_one_passage_in_common_are_not_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(m, "WIDE", 8)
+    asked = []
+    verify = m.verify
+    monkeypatch.setattr(m, "verify", lambda t, p, x: asked.append(p.count()) or verify(t, p, x))
+    passage = words(77, 60)
+    docs = [(i, passage + " " + words(2000 + i, 90)) for i in range(120)] + [(200 + i, passage + " " + words(2000 + i, 88)) for i in range(0, 120, 10)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(x.doc_id, x.dup_of) for x in m.near_duplicates(df).collect()}
+    assert got == {(200 + i, i) for i in range(0, 120, 10)}
+    assert sum(asked) < 132 * 131 // 8
