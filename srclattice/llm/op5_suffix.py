@@ -27,7 +27,7 @@ Defined cases: NULL and empty texts, and those under MIN_WORDS words, have no re
 stay as they are. Texts that are equal as a whole are sorted once: the one with the
 smallest id (NULL last) is the first occurrence and every other is a repeat from end to
 end. Rows that are equal in id and text are such copies too. Other columns are carried
-untouched whatever their names. Ids are integers. Empty tables give empty results.
+untouched whatever their names. Ids that are no integers are ordered by their hash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,10 +37,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import M1, M2, M3, PLAIN, Scratch, mix, ragged, release, slices, text_key, tidied, word_hashes, word_spans
+from .common import M1, M2, M3, PLAIN, Scratch, mix, ragged, slices, text_key, tidied, word_hashes, word_spans
 
 MIN_WORDS, BLOCK_WORDS, SPLIT_SAMPLE = 50, 300_000, 20_000
+#: Owners of ranges at most: their bounds are known to every task, and SPLIT_EACH triples for each of them meet on the driver.
+OWNERS, SPLIT_EACH = 200_000, 8
 BLOCK = "blk int, lens binary, syms binary"
 NO_ID = np.iinfo(np.int64).max
 
@@ -179,7 +182,12 @@ def _sampled(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, sizes.astype(np.int32), left
 
 
-def _splitters(blocks: DataFrame, owners: int, per_block: int) -> np.ndarray:
+def _splitters(blocks: DataFrame, owners: int, n_blocks: int) -> np.ndarray:
+    """Bounds of the owners' ranges, from a sample of a fixed total."""
+    total = max(SPLIT_SAMPLE, SPLIT_EACH * owners)
+    per_block = -(-total // min(n_blocks, total))
+    blocks = blocks.where(F.pmod(F.xxhash64("blk"), F.lit(n_blocks)) < total) if n_blocks > total else blocks
+
     def take(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -332,13 +340,13 @@ def _ranks(t: pa.Table) -> pa.Table:
     return pa.table({"blk": t["blk"][:1].cast(pa.int32()), "lens": [b""], "syms": [out.tobytes()]})
 
 
-def suffix_order(blocks: DataFrame, scratch: Scratch, owners: int, min_words: int, cover: int = 1) -> DataFrame:
+def suffix_order(blocks: DataFrame, scratch: Scratch, n_blocks: int, min_words: int, cover: int = 1) -> DataFrame:
     """Ranks of all suffixes as (blk, lens, syms), syms the ranks in the order of the positions.
 
     At the top (cover 1) nothing needs ranks in text order; the last merge gives the repeats
     themselves, as (blk, x), x packed (index, is first, document of the first occurrence).
     """
-    cuts = _splitters(blocks, owners, max(8, SPLIT_SAMPLE // owners))
+    cuts = _splitters(blocks, min(n_blocks, OWNERS), n_blocks)
     plain = blocks.select("blk", "lens", "syms")
     replies = plain.mapInArrow(tidied(_ask_names(cuts)), "own int, blk int, t binary").groupBy("own").applyInArrow(_name, "blk int, own int, x binary, d bigint, n bigint")
     replies = scratch.save(replies, f"names{cover}")
@@ -351,7 +359,7 @@ def suffix_order(blocks: DataFrame, scratch: Scratch, owners: int, min_words: in
     if 3 * cover >= min_words or unique:
         ranked = names
     else:
-        ranked = suffix_order(names, scratch, owners, min_words, 3 * cover)
+        ranked = suffix_order(names, scratch, n_blocks, min_words, 3 * cover)
         scratch.drop(names)
     top = cover == 1
     asked = blocks.groupBy("blk").cogroup(ranked.groupBy("blk")).applyInArrow(_ask_order(cuts, min_words, top), "own int, blk int, x binary")
@@ -432,30 +440,35 @@ def _spans(min_words: int):
     return run
 
 
+def _order(docs: DataFrame, doc_id: str) -> Column:
+    """What documents are ordered by: their ids, or hashes of these if they are no integers."""
+    c = F.col(doc_id)
+    return c.cast("bigint") if isinstance(docs.schema[doc_id].dataType, IntegralType) else F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, cut, s, e, src): for each distinct text, its stretches of repeated words (cut false) and those to cut."""
     if min_words < 2:
         raise ValueError("min_words must be 2 at least")
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"), F.col(doc_id).cast("bigint").alias("id")).where("key is not null")
-    same = Window.partitionBy("fp")
-    fps = keyed.select("key", "text").mapInArrow(tidied(_fingerprints(min_words)), "fp bigint, key binary, pos int")
-    for c in ("key", "pos"):
-        fps = fps.withColumn(f"lo_{c}", F.min(c).over(same)).withColumn(f"hi_{c}", F.max(c).over(same))
-    marked = fps.where("lo_key != hi_key or lo_pos != hi_pos").groupBy("key").agg(F.collect_set("pos").alias("pos"))
+    keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"), _order(docs, doc_id).alias("id")).where("key is not null")
+    fps = scratch.save(keyed.select("key", "text").mapInArrow(tidied(_fingerprints(min_words)), "fp bigint, key binary, pos int"), "fingerprints")
+    place = F.xxhash64("key", "pos")  # which one is least and which greatest is found before anything is sent
+    twice = fps.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("fp")
+    marked = fps.join(twice, "fp").groupBy("key").agg(F.collect_set("pos").alias("pos"))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("ord"))
     stretches = scratch.save(marked.join(texts, "key").select("key", "text", "ord", "pos").mapInArrow(tidied(_stretches(min_words)), "key binary, ord bigint, start int, n int, syms binary"), "stretches")
-    release(spark)
+    scratch.drop(fps)
     words = stretches.agg(F.sum("n")).first()[0] or 0
     out = "key binary, cut boolean, s int, e int, src bigint"
     if not words:
         return spark.createDataFrame([], out)
-    owners = max(1, round(words / BLOCK_WORDS))
-    blocks = stretches.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(owners)).cast("int")).groupBy("blk").applyInArrow(_pack, BLOCK + ", keys binary, ords binary, starts binary")
+    n_blocks = max(1, round(words / BLOCK_WORDS))
+    blocks = stretches.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")).groupBy("blk").applyInArrow(_pack, BLOCK + ", keys binary, ords binary, starts binary")
     blocks = scratch.save(blocks, "blocks")
     scratch.drop(stretches)
-    found = suffix_order(blocks, scratch, owners, min_words)
+    found = suffix_order(blocks, scratch, n_blocks, min_words)
     spans = scratch.save(blocks.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_spans(min_words), out), "spans")
     scratch.drop(blocks, found)
     return spans
@@ -472,20 +485,29 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wor
     cut_words of the stretch occur earlier in the corpus; first_doc_id has the first occurrence of the passage that it starts with.
     """
     spans = repeated_spans(docs, doc_id, text, min_words)
-    ids = docs.select(text_key(F.col(text)).alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("key is not null").select("key", "doc_id", _n_words(F.col("t")).alias("n"))
-    of_key = Window.partitionBy("key")
-    order = of_key.orderBy(F.col("doc_id").asc_nulls_last())
-    ids = ids.withColumn("r", F.row_number().over(order)).withColumn("c", F.count("*").over(of_key)).withColumn("least", F.first("doc_id").over(order))
+    scratch = Scratch(docs.sparkSession)
+    ids = docs.select(text_key(F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), _order(docs, doc_id).alias("ord"), F.col(text).alias("t")).where("key is not null").select("key", "doc_id", "ord", _n_words(F.col("t")).alias("n"))
+    ids = scratch.save(ids, "ids")
+    same = ids.groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("least"))
+    ids = ids.join(same, "key")
     cuts = spans.where("cut").select("key", F.col("s").alias("cs"), F.col("e").alias("ce"))
     inner = spans.where("not cut").select("key", "s", "e", "src")
     inner = inner.join(cuts, (inner.key == cuts.key) & (cuts.cs >= inner.s) & (cuts.ce <= inner.e), "left").groupBy(inner.key, "s", "e", "src").agg(F.coalesce(F.sum(F.col("ce") - F.col("cs")), F.lit(0)).cast("int").alias("cut_words"))
     whole = ids.where(f"c > 1 and n >= {min_words}")
-    single = ids.where(f"c = 1 or n < {min_words}").where("r = 1").join(inner, "key").select("doc_id", F.col("s").alias("start_word"), F.col("e").alias("end_word"), "cut_words", F.when(F.col("src") != int(NO_ID), F.col("src")).alias("first_doc_id"))
+    one = ids.where(f"c = 1 or n < {min_words}").groupBy("key").agg(F.min_by("doc_id", "ord").alias("doc_id"))
+    single = one.join(inner, "key").select("doc_id", F.col("s").alias("start_word"), F.col("e").alias("end_word"), "cut_words", F.when(F.col("src") != int(NO_ID), F.col("src")).alias("first"))
     lost = inner.groupBy("key").agg(F.sum("cut_words").cast("int").alias("lost"))
-    copies = whole.join(lost, "key", "left").select(
-        "doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), F.when(F.col("r") > 1, F.col("n")).otherwise(F.coalesce("lost", F.lit(0))).alias("cut_words"), F.col("least").alias("first_doc_id")
+    # of copies with the least id, one is the first
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("ord").asc_nulls_last()))
+    firsts = whole.where(F.col("ord").eqNullSafe(F.col("least"))).withColumn("r", nth)
+    copies = firsts.unionByName(whole.where(~F.col("ord").eqNullSafe(F.col("least"))).withColumn("r", F.lit(2))).join(lost, "key", "left").select(
+        "doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), F.when(F.col("r") > 1, F.col("n")).otherwise(F.coalesce("lost", F.lit(0))).alias("cut_words"), F.col("least").alias("first")
     )
-    return single.unionByName(copies)
+    out = single.unionByName(copies)
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        return out.withColumnRenamed("first", "first_doc_id")
+    names = ids.where("ord is not null").groupBy(F.col("ord").alias("first")).agg(F.min("doc_id").alias("first_doc_id"))
+    return out.join(names, "first", "left").drop("first")
 
 
 def _cut_texts(texts, spans):
@@ -511,7 +533,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     spans = repeated_spans(docs, doc_id, text, min_words)
     cuts = spans.where("cut").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
+    rows = docs.select(row, _order(docs, doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
     order = Window.partitionBy("key").orderBy(F.col("id").asc_nulls_last())
     have = rows.where("key is not null").withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) | (_n_words(F.col("t")) < min_words)).join(cuts, "key", "left")
 

@@ -60,6 +60,25 @@ def test_suffix_edges(hard, none):
     assert out.columns == hard.columns and out.count() == hard.count() - 2
 
 
+def test_ids_that_are_no_integers(spark):
+    passage = words(5, 60)
+    docs = [(f"d{i}", passage + " " + words(300 + i, 30)) for i in range(6)] + [(None, passage), ("e", words(9, 70)), ("f", words(9, 70))]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    rows = s.repeats(df).collect()
+    assert sum(x.cut_words for x in rows) == 6 * 60 + 70 and len({x.first_doc_id for x in rows}) == 2
+    assert {x.doc_id for x in rows} == {d for d, _ in docs} and s.cut_repeats(df).count() == 7
+
+
+def test_few_owners_and_a_sample_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(s, "OWNERS", 3)
+    monkeypatch.setattr(s, "SPLIT_SAMPLE", 5)
+    monkeypatch.setattr(s, "SPLIT_EACH", 1)
+    docs = [(i, words(5 + i % 3, 60) + " " + words(300 + i, 30)) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sum(x.cut_words for x in s.repeats(df).collect()) == 27 * 60
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
