@@ -53,6 +53,24 @@ class Facts:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+class Saved:
+    """Facts whose tables are each written when they are first asked for, and read from there on."""
+
+    def __init__(self, facts: Facts, path: str):
+        self._facts, self._path = facts, path
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        df = getattr(self._facts, name)
+        df.write.mode("overwrite").parquet(f"{self._path}/{name}")
+        self.__dict__[name] = df.sparkSession.read.schema(df.schema).parquet(f"{self._path}/{name}")
+        return self.__dict__[name]
+
+    def without_tests(self) -> Facts:
+        return Facts.without_tests(self)
+
+
 def load(spark, path: str) -> Facts:
     return Facts(*[spark.read.schema(s).parquet(f"{path}/{name}") for name, s in SCHEMAS.items()])
 

@@ -22,6 +22,16 @@ def abbreviated(package: Column) -> Column:
     return F.when(F.size(s) > 2, F.array_join(short, ".")).otherwise(package)
 
 
+def parameter_types(signature: Column) -> Column:
+    """The types of a signature's parameters, without generics, annotations, array and variable-length signs."""
+    s = F.regexp_replace(signature, r"@[\w.]+(\([^()]*\))?", " ")
+    inside = F.regexp_extract(s, r"\(([^()]*)\)", 1)
+    for _ in range(5):  # generics may hold others
+        inside = F.regexp_replace(inside, r"<[^<>]*>", "")
+    each = F.transform(F.split(inside, ","), lambda p: F.regexp_extract(p, r"^\s*(?:final\s+)?([\w$]+(?:\.[\w$]+)*)", 1))
+    return F.filter(each, lambda t: t != "")
+
+
 @dataclass(frozen=True)
 class MethodRef:
     cls: str | None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..facts.model import Facts, is_test, joined
 from ..session import checkpointed
+from .navigate import constructor_types
 
 UTILITY = ("String", "List", "Map", "Set", "Optional", "Integer", "Long", "Boolean", "Object", "Logger", "Collection", "StringBuilder")
 OBJECT_METHODS = ("toString", "equals", "hashCode", "getClass", "notify", "notifyAll", "wait", "clone", "finalize")
@@ -58,23 +59,28 @@ def unused_methods(f: Facts, ignore: tuple[str, ...] = ("main", "<init>")) -> Da
 
 
 def unused_types(f: Facts) -> DataFrame:
-    """Types that nobody imports or has a field of, and interfaces that nobody implements: (name, why)."""
-    seen = f.imports.select(F.substring_index("import", ".", -1).alias("name")).unionByName(f.fields.select(F.col("type").alias("name")))
-    lone = f.types.where("not is_interface").select("name").join(seen, "name", "left_anti").withColumn("why", F.lit("unreferenced"))
+    """Types that nobody imports, has a field of or takes in a constructor, and interfaces that nobody implements: (name, why)."""
+    seen = f.imports.select(F.substring_index("import", ".", -1).alias("name")).unionByName(f.fields.select(F.col("type").alias("name"))).unionByName(constructor_types(f).select(F.col("type").alias("name")))
+    lone = f.types.where("not is_interface and name != 'App'").select("name").join(seen, "name", "left_anti").withColumn("why", F.lit("unreferenced"))
     have = f.implements.select(F.substring_index(F.regexp_replace("interface", "<.*$", ""), ".", -1).alias("name"))
     bare = f.types.where("is_interface").select("name").join(have, "name", "left_anti").withColumn("why", F.lit("unimplemented"))
     return lone.unionByName(bare)
 
 
 def related(f: Facts, k: int = 15) -> DataFrame:
-    """For each type the k others with the highest score: field 3, each method called or calling 2."""
+    """For each type the k others with the highest score: field 3, each method called or calling 2, same package 1."""
     fld = f.fields.select("class", F.col("type").alias("other"), F.lit(3).alias("s")).distinct()
     e = calls(f).where("caller_class != callee_class")
     out = e.select(F.col("caller_class").alias("class"), F.col("callee_class").alias("other"), "callee").distinct().select("class", "other", F.lit(2).alias("s"))
     into = e.select(F.col("callee_class").alias("class"), F.col("caller_class").alias("other"), "caller").distinct().select("class", "other", F.lit(2).alias("s"))
     s = fld.unionByName(out).unionByName(into).where((F.col("class") != F.col("other")) & ~F.col("other").isin(*UTILITY) & (F.col("other") != "?")).groupBy("class", "other").agg(F.sum("s").alias("score"))
+    of = f.types.select("name", "package").distinct()
+    s = s.join(of.toDF("class", "cp"), "class", "left").join(of.toDF("other", "op"), "other", "left").withColumn("score", F.col("score") + F.coalesce((F.col("cp") == F.col("op")).cast("int"), F.lit(0))).groupBy("class", "other").agg(F.max("score").alias("score"))
+    # types that have only the package in common come after all others, so of each package no more than the first k + 1 by name can be among the k
+    first = of.where(~F.col("name").isin(*UTILITY)).withColumn("r", F.row_number().over(Window.partitionBy("package").orderBy("name"))).where(F.col("r") <= k + 1).select(F.col("name").alias("other"), "package")
+    beside = of.withColumnRenamed("name", "class").join(first, "package").where("class != other").select("class", "other").distinct().join(s, ["class", "other"], "left_anti").withColumn("score", F.lit(1).cast("bigint"))
     order = Window.partitionBy("class").orderBy(F.desc("score"), "other")
-    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return s.unionByName(beside).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def reach(pairs: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -183,12 +189,17 @@ def overridden(f: Facts) -> DataFrame:
 
 
 def breaking_changes(f: Facts) -> DataFrame:
-    """(class, subclasses, implementors, overriding, risk) of each type that others extend or implement."""
+    """(class, subclasses, implementors, overriding, conditions, risk) of each type that others extend or implement; conditions: what would break."""
     sub = f.types.where("super_class != ''").groupBy(F.substring_index(F.regexp_replace("super_class", "<.*$", ""), ".", -1).alias("class")).agg(F.countDistinct("name").alias("subclasses"))
     imp = f.implements.groupBy(F.substring_index(F.regexp_replace("interface", "<.*$", ""), ".", -1).alias("class")).agg(F.countDistinct("class").alias("implementors"))
     over = overridden(f).groupBy(F.col("parent").alias("class")).agg(F.count("*").alias("overriding"))
-    all_ = sub.join(imp, "class", "full").join(over, "class", "left").fillna(0).join(f.types.select(F.col("name").alias("class")).distinct(), "class", "left_semi")
-    return all_.withColumn("risk", risk(F.col("subclasses") + F.col("implementors"), 3, 10))
+    kinds = f.types.groupBy(F.col("name").alias("class")).agg(F.max(F.col("is_interface") | F.col("is_abstract")).alias("open"))
+    all_ = sub.join(imp, "class", "full").join(over, "class", "left").fillna(0).join(kinds, "class")
+    what = F.concat_ws(
+        "; ", F.when(F.col("subclasses") > 0, "signature changes break subclasses"), F.when(F.col("implementors") > 0, "added or removed methods break implementors"),
+        F.when(F.col("open"), "a new abstract method must be written by all below"), F.when(F.col("overriding") > 0, "overridden signatures must change together"),
+    )
+    return all_.withColumn("conditions", what).drop("open").withColumn("risk", risk(F.col("subclasses") + F.col("implementors"), 3, 10))
 
 
 def diff_impact(f: Facts, changed: DataFrame, max_depth: int = 30) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..facts.model import Facts, complexity, joined, loc
+from ..functions.names import parameter_types
 
 VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH", "RequestMapping": "ALL", "Path": "ALL", "GET": "GET", "POST": "POST", "PUT": "PUT", "DELETE": "DELETE"}
 SCHEDULED, LISTENERS = ("Scheduled",), ("EventListener", "KafkaListener", "RabbitListener", "JmsListener", "SqsListener")
@@ -58,17 +59,21 @@ def summary(f: Facts, top: int = 20) -> DataFrame:
     return f.types.join(listed, F.col("name") == F.col("class"), "left").select("qualified", "kind", "super_class", F.coalesce("methods", F.lit("")).alias("methods"))
 
 
-def mini(f: Facts, fields: int = 3, deps: int = 5) -> DataFrame:
-    """A type in one row: how many members, first fields, first types it calls, callers from other types."""
+def mini(f: Facts, fields: int = 3, deps: int = 5, methods: int = 5) -> DataFrame:
+    """A type in one row: how many members, the signatures that most others call (then the longest), first fields, first types it calls, callers from other types."""
     out = f.edges.where("caller_class != callee_class")
     by = out.groupBy(F.col("callee_class").alias("c")).agg(F.countDistinct("caller_class").alias("called_by"))
     uses = out.groupBy(F.col("caller_class").alias("c")).agg(F.array_join(F.slice(F.sort_array(F.collect_set("callee_class")), 1, deps), ",").alias("deps"))
     fld = f.fields.groupBy(F.col("class").alias("c")).agg(F.array_join(F.slice(F.sort_array(F.collect_set(F.concat("name", F.lit(":"), "type"))), 1, fields), ",").alias("fields"))
     cnt = f.methods.groupBy(F.col("class").alias("c")).agg(F.count("*").alias("methods"))
+    calls = f.edges.groupBy(F.col("callee_class").alias("class"), F.col("callee").alias("name")).agg(F.countDistinct("caller_class", "caller").alias("n"))
+    order = Window.partitionBy("class").orderBy(F.desc("n"), F.desc(F.col("end_line") - F.col("start_line")), "name", "signature")
+    key = f.methods.join(calls, ["class", "name"], "left").fillna(0, ["n"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= methods)
+    key = key.groupBy(F.col("class").alias("c")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "signature"))), lambda x: x["signature"]), "; ").alias("key_methods"))
     t = f.types.select(F.col("name").alias("c"), "qualified")
-    for x in (cnt, fld, uses, by):
+    for x in (cnt, key, fld, uses, by):
         t = t.join(x, "c", "left")
-    return t.fillna(0, ["methods", "called_by"]).fillna("", ["fields", "deps"]).drop("c")
+    return t.fillna(0, ["methods", "called_by"]).fillna("", ["key_methods", "fields", "deps"]).drop("c")
 
 
 def hierarchy(f: Facts) -> DataFrame:
@@ -88,20 +93,29 @@ def implementors(f: Facts) -> DataFrame:
     return f.implements.select(F.substring_index(F.regexp_replace("interface", "<.*$", ""), ".", -1).alias("interface"), "class").distinct()
 
 
+def constructor_types(f: Facts) -> DataFrame:
+    """(class, type): what the constructors of each class take."""
+    made = f.methods.where(F.col("name").isin("<init>") | (F.col("name") == F.col("class")))
+    return made.select("class", F.explode(parameter_types(F.col("signature"))).alias("type")).select("class", F.substring_index("type", ".", -1).alias("type")).distinct()
+
+
 def dependencies(f: Facts) -> DataFrame:
-    """Imports and field types of each class, libraries of the platform left out."""
+    """Imports, field types and constructor parameter types of each class, libraries of the platform left out."""
     platform = F.col("import").rlike(r"^(java|javax|jakarta|org\.slf4j|org\.apache\.commons)\.")
     imp = f.imports.where(~platform).groupBy("class").agg(joined("import").alias("imports"))
     fld = f.fields.groupBy("class").agg(joined("type").alias("field_types"))
-    return imp.join(fld, "class", "full").fillna("", ["imports", "field_types"])
+    made = constructor_types(f).groupBy("class").agg(joined("type").alias("ctor_types"))
+    return imp.join(fld, "class", "full").join(made, "class", "full").fillna("", ["imports", "field_types", "ctor_types"])
 
 
 def dependents(f: Facts) -> DataFrame:
-    """(target, class, how): who imports a type, or else has a field of it."""
+    """(target, class, how): who imports a type, or else has a field of it, or else takes it in a constructor."""
     names = f.types.select(F.col("name").alias("target"))
-    imp = f.imports.select(F.substring_index("import", ".", -1).alias("target"), "class", F.lit("import").alias("how"))
-    fld = f.fields.select(F.col("type").alias("target"), "class", F.lit("field").alias("how"))
-    return imp.unionByName(fld).where("target != class").groupBy("target", "class").agg(F.max("how").alias("how")).join(names, "target", "left_semi")
+    imp = f.imports.select(F.substring_index("import", ".", -1).alias("target"), "class", F.lit(1).alias("o"))
+    fld = f.fields.select(F.col("type").alias("target"), "class", F.lit(2).alias("o"))
+    made = constructor_types(f).select(F.col("type").alias("target"), "class", F.lit(3).alias("o"))
+    how = F.element_at(F.array(*map(F.lit, ("import", "field", "constructor"))), F.min("o"))
+    return imp.unionByName(fld).unionByName(made).where("target != class").groupBy("target", "class").agg(how.alias("how")).join(names, "target", "left_semi")
 
 
 def annotated(f: Facts, name: str) -> DataFrame:
@@ -117,9 +131,10 @@ def find_methods(f: Facts, name: str, in_class: str | None = None, params: int |
     return (m if params is None else m.where(F.col("params") == params)).select("class", "name", "signature", "start_line").distinct()
 
 
-def endpoints(f: Facts) -> DataFrame:
-    """(controller, method, verb, path) of each method with a mapping annotation."""
-    verb = F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])
+def endpoints(f: Facts, annotations: tuple[str, ...] = ()) -> DataFrame:
+    """(controller, method, verb, path) of each method with a mapping annotation; of the given ones only, if any, whose verb is their own name where it is not known."""
+    known = {a: VERBS.get(a, a) for a in annotations} or VERBS
+    verb = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     base = f.annotations.where("method is null and name in ('RequestMapping', 'Path')").groupBy("class").agg(F.min("value").alias("base"))
     plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), '^"|"$|^/+|/+$', "")
     path = F.concat(F.lit("/"), F.concat_ws("/", F.nullif(plain("base"), F.lit("")), F.nullif(plain("value"), F.lit(""))))

@@ -6,38 +6,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts.model import Facts, joined
-from .navigate import glob_regex
+from .navigate import constructor_types, glob_regex
 
 JDK = "String Integer Long Short Byte Boolean Character Double Float Object int long short byte boolean char double float void List Map Set Collection Optional Date BigDecimal BigInteger UUID Instant LocalDate LocalDateTime Duration Class Thread Runnable".split()
 
 
-def _in(types: DataFrame, glob: str) -> DataFrame:
-    r = glob_regex(glob)
-    return types.where(F.col("qualified").rlike(r) | F.col("name").rlike(r))
+def _in(f: Facts, layer: str | dict | None) -> DataFrame:
+    """The types of a layer: a glob, or {pattern, annotations} of which either will do; None is all of them."""
+    if layer is None:
+        return f.types
+    layer = {"pattern": layer} if isinstance(layer, str) else layer
+    found = f.types.where(F.lit(False))
+    if layer.get("pattern"):
+        r = glob_regex(layer["pattern"])
+        found = f.types.where(F.col("qualified").rlike(r) | F.col("name").rlike(r))
+    if layer.get("annotations"):
+        has = f.annotations.where(F.col("method").isNull() & F.col("name").isin(*layer["annotations"])).select(F.col("class").alias("name"))
+        found = found.unionByName(f.types.join(has, "name", "left_semi").select(*f.types.columns)).distinct()
+    return found
 
 
-def deny_import(f: Facts, rule: str, source: str, target: str) -> DataFrame:
+def deny_import(f: Facts, rule: str, source: str | dict, target: str | dict) -> DataFrame:
     """(rule, class, what): types of layer source that import, or have a field of, a type of layer target."""
-    of = _in(f.types, source).select(F.col("name").alias("class"))
-    no = _in(f.types, target).select("qualified", F.col("name").alias("denied"))
+    of = _in(f, source).select(F.col("name").alias("class"))
+    no = _in(f, target).select("qualified", F.col("name").alias("denied"))
     imp = f.imports.join(no, F.col("import") == F.col("qualified")).select("class", F.concat(F.lit("import "), "denied").alias("what"))
     fld = f.fields.join(no, F.col("type") == F.col("denied")).select("class", F.concat(F.lit("field "), "denied").alias("what"))
     return imp.unionByName(fld).distinct().join(of, "class", "left_semi").select(F.lit(rule).alias("rule"), "class", "what")
 
 
-def constructor_injection(f: Facts, rule: str = "constructor-injection") -> DataFrame:
-    """Classes with fields whose constructor takes nothing."""
-    t = f.types.where("not is_interface").select(F.col("name").alias("class"))
-    made = f.methods.where("name = class and params > 0").select("class")
-    return t.join(f.fields, "class", "left_semi").join(made, "class", "left_anti").select(F.lit(rule).alias("rule"), "class", F.lit("fields without constructor parameters").alias("what"))
+def constructor_injection(f: Facts, rule: str = "constructor-injection", layer: str | dict | None = None) -> DataFrame:
+    """Classes (of a layer) with fields whose constructor takes nothing."""
+    t = _in(f, layer).where("not is_interface").select(F.col("name").alias("class"))
+    return t.join(f.fields, "class", "left_semi").join(constructor_types(f), "class", "left_anti").select(F.lit(rule).alias("rule"), "class", F.lit("fields without constructor parameters").alias("what"))
 
 
-def deny_annotation(f: Facts, rule: str, source: str, annotation: str) -> DataFrame:
-    of = _in(f.types, source).select(F.col("name").alias("class"))
+def deny_annotation(f: Facts, rule: str, source: str | dict, annotation: str) -> DataFrame:
+    of = _in(f, source).select(F.col("name").alias("class"))
     a = f.annotations.where(F.col("name") == annotation).select("class", F.concat(F.lit("@"), "name", F.lit(" on "), F.coalesce("method", "class")).alias("what")).distinct()
     return a.join(of, "class", "left_semi").select(F.lit(rule).alias("rule"), "class", "what")
 
 
+def configured(f: Facts, config: dict, only: str | None = None) -> DataFrame:
+    """(rule, class, what) of the configured rules, or of one; a layer that is not configured has no types."""
+    layers = {x.get("name"): x for x in config.get("layers") or []}
+    of = lambda name: layers.get(name, {})
+    out = f.types.where(F.lit(False)).select(F.lit("").alias("rule"), F.col("name").alias("class"), F.lit("").alias("what"))
+    for r in config.get("rules") or []:
+        name, layer = r.get("id") or "", r.get("layer") or r.get("from")
+        if only not in (None, name):
+            continue
+        if r.get("denyImport"):
+            out = out.unionByName(deny_import(f, name, of(r.get("from")), of(r["denyImport"])))
+        if r.get("require") == "constructor-injection" and layer:
+            out = out.unionByName(constructor_injection(f, name, of(layer)))
+        if r.get("denyAnnotation") and layer:
+            out = out.unionByName(deny_annotation(f, name, of(layer), r["denyAnnotation"]))
+    return out
+
+
+def layers(f: Facts, config: dict, only: str | None = None) -> DataFrame:
+    """(layer, qualified): the types of each configured layer, or of one."""
+    out = f.types.where(F.lit(False)).select(F.lit("").alias("layer"), "qualified")
+    for x in config.get("layers") or []:
+        if only in (None, x.get("name")):
+            out = out.unionByName(_in(f, x).select(F.lit(x.get("name")).alias("layer"), "qualified"))
+    return out
+
+
 def internal_import(f: Facts, marker: str = ".internal.") -> DataFrame:
     """Imports of another package's internals."""
     own = f.types.select(F.col("name").alias("class"), "package")
@@ -47,13 +83,17 @@ def internal_import(f: Facts, marker: str = ".internal.") -> DataFrame:
 
 
 def lint(f: Facts) -> DataFrame:
-    """(class, problem, what): field types that are unknown, and methods that are not public and never called."""
+    """(class, problem, what): field types that are unknown or, where the class has imports, may not be imported; and methods that are not public and never called."""
     known = f.types.select(F.col("name").alias("type")).unionByName(f.imports.select(F.substring_index("import", ".", -1).alias("type"))).distinct()
     bare = f.fields.select("class", F.regexp_replace(F.regexp_replace("type", "<.*$", ""), r"\[\]", "").alias("type")).where(~F.col("type").isin(*JDK)).distinct()
     odd = bare.join(known, "type", "left_anti").select("class", F.lit("unknown type").alias("problem"), F.col("type").alias("what"))
     used = f.edges.select(F.col("callee_class").alias("class"), F.col("callee").alias("name"))
     dead = f.methods.where("not is_public").select("class", "name").distinct().join(used, ["class", "name"], "left_anti").select("class", F.lit("never called").alias("problem"), F.col("name").alias("what"))
-    return odd.unionByName(dead)
+    here = bare.join(f.types.select(F.col("name").alias("class"), "package").distinct(), "class").join(f.imports.select("class").distinct(), "class", "left_semi")
+    own = f.imports.select("class", F.substring_index("import", ".", -1).alias("type"))
+    beside = f.types.select("package", F.col("name").alias("type")).distinct()
+    maybe = here.join(own, ["class", "type"], "left_anti").join(beside, ["package", "type"], "left_anti").join(known, "type", "left_anti")
+    return odd.unionByName(maybe.select("class", F.lit("maybe not imported").alias("problem"), F.col("type").alias("what")).distinct()).unionByName(dead)
 
 
 def _shape(signature):

@@ -7,11 +7,38 @@ from pyspark.sql import functions as F
 
 from ..facts.model import Facts, joined
 
-SYNONYMS = {
-    "create": ["create", "add", "insert", "save", "new", "register"], "delete": ["delete", "remove", "drop", "clear", "purge"], "read": ["read", "get", "find", "load", "fetch", "query"],
-    "update": ["update", "modify", "change", "edit", "set"], "check": ["check", "validate", "verify", "is", "assert"], "send": ["send", "publish", "emit", "dispatch", "notify"],
-}
-STOP_WORDS = ("the", "a", "an", "in", "of", "to", "for", "and", "or", "is", "with", "on", "how", "where")
+#: What a concept is called in code, the likeliest words first.
+CONCEPTS = {
+    k: v.split()
+    for k, v in {
+        "async": "async future completable executor thread parallel reactive flux mono",
+        "auth": "security authentication authorization token credential principal login oauth",
+        "cache": "cache caffeine redis ehcache caching evict",
+        "config": "configuration properties settings preference profile environment yaml",
+        "database": "database datasource jdbc jpa repository sql persistence hibernate entity db",
+        "error": "error exception failureanalyzer handler fallback catch throw fault",
+        "file": "file path resource stream reader writer io nio",
+        "handle": "handle handler process catch on listener intercept",
+        "http": "controller servlet request response endpoint mapping rest web filter",
+        "log": "logger log logging slf4j logback log4j",
+        "message": "message queue kafka rabbit jms event listener publisher consumer",
+        "schedule": "schedule cron timer periodic trigger taskscheduler",
+        "serial": "serializ jackson json xml marshal objectmapper gson",
+        "ssl": "ssl tls certificate keystore truststore pem jks",
+        "test": "test mock stub fixture assert verify testcontainers",
+        "valid": "valid constraint validator bindingresult error reject",
+    }.items()
+}
+STOP_WORDS = tuple("a an and are at be do does for how in is it of on or that the this to was were where with".split())
+
+
+def concept(word: str) -> list[str]:
+    """The words of a concept that is, or has, the word, also without its ending; else the word itself. Of several concepts the first by name counts."""
+    for w in (word, *(word[: -len(e)] for e in ("s", "es", "ing", "ed") if word.endswith(e))):
+        found = CONCEPTS.get(w) or next((v for v in CONCEPTS.values() if w in v), None)
+        if found:
+            return found
+    return [word]
 
 
 def source_lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -69,19 +96,19 @@ def tokens(text: str, least: int = 2) -> list[str]:
 
 
 def find(f: Facts, words: list[str], k: int = 15) -> DataFrame:
-    """Types by concept: 5 for a name with a synonym of a word, else 3 for a method with one; min(2, words) must hit."""
-    lists = [SYNONYMS.get(w, next((v for v in SYNONYMS.values() if w in v), [w])) for w in words]
+    """Types by concept: of a word's concept the first name that hits counts, 5 in the type's name, else 3 in a method's; min(2, words) must hit."""
+    lists = [concept(w) for w in dict.fromkeys(words)]
     m = f.methods.groupBy(F.col("class").alias("mc")).agg(F.collect_set(F.lower("name")).alias("ms"))
     t = f.types.join(m, F.col("name") == F.col("mc"), "left")
     own, names = F.lower("qualified"), F.coalesce("ms", F.array().cast("array<string>"))
 
     def hit(synonyms):
-        some = lambda c: F.greatest(*[c.contains(x) for x in synonyms], F.lit(False))
-        return F.when(some(own), 5).when(F.exists(names, some), 3).otherwise(0)
+        among = lambda x: F.exists(names, lambda c: c.contains(x))
+        return F.coalesce(*[F.when(own.contains(x), 5).when(among(x), 3) for x in synonyms], F.lit(0))
 
     hits = [hit(x) for x in lists]
     scored = t.select("qualified", sum(hits, F.lit(0)).alias("score"), sum([(h > 0).cast("int") for h in hits], F.lit(0)).alias("concepts"))
-    return scored.where(F.col("concepts") >= min(2, len(words))).select("qualified", "score").orderBy(F.desc("score"), "qualified").limit(k)
+    return scored.where((F.col("concepts") >= min(2, len(lists))) & (F.col("score") > 0)).select("qualified", "score").orderBy(F.desc("score"), "qualified").limit(k)
 
 
 def scope(f: Facts, words: list[str], k: int = 15) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..facts import build as B
 from ..facts.adapters import FACTS_SQL, from_tables, java_sources
+from ..facts.model import Facts, Saved
 from ..functions import names as N
 from ..operators import documents as D
 from ..operators import graph as G
 from ..operators import navigate as V
 from ..operators import rules as R
 from ..operators import text as T
-from ..session import ship
+from ..session import own_folder, ship
 
 _BACK = "back as (select distinct callee_class || '.' || callee as src, caller_class || '.' || caller as dst from edges)"
 _CALLS = "calls as (select distinct caller_class, caller, callee_class, callee from edges)"
@@ -36,6 +37,30 @@ def _commits(spark, sf_dir):
     return o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("path"), F.format_string("%012d", F.col("o_orderkey")).alias("sha"), F.lower("o_orderpriority").alias("author"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"), F.concat_ws(" ", F.lit("order"), F.col("o_orderkey").cast("string")).alias("subject"))
 
 
+def _with_constructors(f):
+    """The facts, and for each class a constructor that takes a generic and an annotated parameter."""
+    made = F.concat(F.lit("public "), "name", F.lit("(@Named(\"a, b\") final List<Map<String, "), F.nullif("super_class", F.lit("")), F.lit(">> all, "), "super_class", F.lit("... more)"))
+    of = f.types.where("not is_interface and super_class != ''").select(F.col("name").alias("class"), "name", F.lit(2).alias("params"), F.lit("").alias("return_type"), made.alias("signature"), F.lit(True).alias("is_public"), "path", "start_line", F.col("start_line").alias("end_line"))
+    return Facts(f.types, f.methods.unionByName(of), f.fields, f.edges, f.implements, f.annotations, f.imports)
+
+
+def _throwing(f):
+    """The facts, with exceptions that some methods throw."""
+    m = f.methods.withColumn("signature", F.when(F.col("start_line") % 2 == 1, F.concat("signature", F.lit(" throws IOException, java.sql.SQLException"))).otherwise(F.col("signature")))
+    return Facts(f.types, m, f.fields, f.edges, f.implements, f.annotations, f.imports)
+
+
+def _strict_spec(f):
+    return f.methods.select("class", "name", "signature", F.array(F.lit("IOException"), F.lit("TimeoutException")).alias("throws"), F.array(F.lit("Scheduled")).alias("annotations"))
+
+
+#: A configuration as the command line reads it.
+CONFIG = {
+    "layers": [{"name": "economy", "pattern": "economy.**"}, {"name": "promo", "pattern": "promo.**"}, {"name": "services", "annotations": ["Service"]}],
+    "rules": [{"id": "no-promo", "from": "economy", "denyImport": "promo"}, {"id": "inject", "require": "constructor-injection", "layer": "services"}, {"id": "no-scheduled", "from": "economy", "denyAnnotation": "Scheduled"}],
+}
+
+
 def _spec(f):
     return f.methods.where("start_line % 2 = 1").select("class", "name").unionByName(f.types.where("end_line % 5 = 0").select(F.col("name").alias("class"), F.lit("close").alias("name")))
 
@@ -45,8 +70,31 @@ def _asked(f):
     return f.methods.select("class", "name").distinct().unionByName(f.types.select(F.col("name").alias("class"), F.lit("getS1x").alias("name")))
 
 
+#: What was made of a folder of tables, by application and folder: facts and parsed files are built once and asked often.
+_made: dict = {}
+
+
+def _once(spark, sf_dir, kind, make):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _made:
+        _made[key] = make(own_folder(spark, kind))
+    return _made[key]
+
+
+def facts(spark, sf_dir):
+    return _once(spark, sf_dir, "facts", lambda path: Saved(from_tables(ship(spark), sf_dir), path))
+
+
 def _parsed(spark, sf_dir):
-    return B.parsed(java_sources(spark, sf_dir))
+    def make(path):
+        B.parsed(java_sources(spark, sf_dir)).write.parquet(path)
+        return spark.read.schema(B.PARSED).parquet(path)
+
+    return _once(spark, sf_dir, "parsed", make)
+
+
+def _parsed_facts(spark, sf_dir):
+    return _once(spark, sf_dir, "parsed-facts", lambda path: Saved(B.facts(_parsed(spark, sf_dir)), path))
 
 
 _JAVA = "j as (select p_partkey k, p_size z, 'P' || p_partkey c, 'P' || cast(floor(p_partkey / 10) as bigint) u, 'a.' || lower(replace(p_type, ' ', '')) t from part)"
@@ -64,14 +112,15 @@ CATALOG = {
         select qualified, kind, super_class, coalesce(methods, '') methods from types left join g on class = name"""),
     "mini": (lambda f, s, d: V.mini(f), """o as (select * from edges where caller_class <> callee_class), b as (select callee_class c, count(distinct caller_class) n from o group by 1),
         u as (select caller_class c, array_to_string(list_sort(list_distinct(list(callee_class)))[1:5], ',') deps from o group by 1), fl as (select class c, array_to_string(list_sort(list_distinct(list(name || ':' || type)))[1:3], ',') fields from fields group by 1), m as (select class c, count(*) n from methods group by 1)
-        select qualified, coalesce(m.n, 0)::bigint methods, coalesce(fl.fields, '') fields, coalesce(u.deps, '') deps, coalesce(b.n, 0)::bigint called_by from types t left join b on b.c = t.name left join u on u.c = t.name left join fl on fl.c = t.name left join m on m.c = t.name"""),
+        , cc as (select callee_class c, callee as name, count(distinct (caller_class, caller)) n from edges group by 1, 2), km as (select class c, signature, row_number() over (partition by class order by coalesce(n, 0) desc, end_line - start_line desc, methods.name, signature) r from methods left join cc on cc.c = class and cc.name = methods.name), kk as (select c, string_agg(signature, '; ' order by r) x from km where r <= 5 group by 1)
+        select qualified, coalesce(m.n, 0)::bigint methods, coalesce(kk.x, '') key_methods, coalesce(fl.fields, '') fields, coalesce(u.deps, '') deps, coalesce(b.n, 0)::bigint called_by from types t left join b on b.c = t.name left join u on u.c = t.name left join fl on fl.c = t.name left join m on m.c = t.name left join kk on kk.c = t.name"""),
     "hierarchy": (lambda f, s, d: V.hierarchy(f), """su as (select super_class n, array_to_string(list_sort(list_distinct(list(name))), ',') x from types where super_class <> '' group by 1), i as (select class n, array_to_string(list_sort(list_distinct(list(interface))), ',') x from implements group by 1), m as (select interface n, array_to_string(list_sort(list_distinct(list(class))), ',') x from implements group by 1)
         select qualified, super_class, coalesce(i.x, '') interfaces, coalesce(su.x, '') subclasses, case when is_interface then coalesce(m.x, '') else '' end implementors from types t left join su on su.n = t.name left join i on i.n = t.name left join m on m.n = t.name"""),
     "implementors": (lambda f, s, d: V.implementors(f), "select distinct interface, class from implements"),
-    "deps": (lambda f, s, d: V.dependencies(f), """i as (select class, string_agg(distinct import, ',' order by import) imports from imports group by 1), g as (select class, string_agg(distinct type, ',' order by type) field_types from fields group by 1)
-        select class, coalesce(imports, '') imports, coalesce(field_types, '') field_types from i full join g using (class)"""),
-    "imports_of": (lambda f, s, d: V.dependents(f), """x as (select split_part(import, '.', 3) target, class, 'import' how from imports union all select type, class, 'field' from fields)
-        select target, class, max(how) how from x where target <> class and target in (select name from types) group by 1, 2"""),
+    "deps": (lambda f, s, d: V.dependencies(_with_constructors(f)), """i as (select class, string_agg(distinct import, ',' order by import) imports from imports group by 1), g as (select class, string_agg(distinct type, ',' order by type) field_types from fields group by 1), k as (select name as class, 'List,' || super_class ctor_types from types where not is_interface and super_class <> '')
+        select class, coalesce(imports, '') imports, coalesce(field_types, '') field_types, coalesce(ctor_types, '') ctor_types from i full join g using (class) full join k using (class)"""),
+    "imports_of": (lambda f, s, d: V.dependents(_with_constructors(f)), """x as (select split_part(import, '.', 3) target, class, 1 o, 'import' how from imports union all select type, class, 2, 'field' from fields union all select super_class, name, 3, 'constructor' from types where not is_interface and super_class <> '')
+        select target, class, arg_min(how, o) how from x where target <> class and target in (select name from types) group by 1, 2"""),
     "annotations_of": (lambda f, s, d: V.annotated(f, "Autowired"), "select distinct class, coalesce(method, '') as method, value from annotations where name = 'Autowired'"),
     "method_search": (lambda f, s, d: V.find_methods(f, "setS1"), "select distinct class, name, signature, start_line from methods where name = 'setS1'"),
     "endpoints": (lambda f, s, d: V.endpoints(f), f"{_ENDS} select * from ends"),
@@ -88,18 +137,19 @@ CATALOG = {
     "roots": (lambda f, s, d: G.roots(f), "select distinct caller_class as class, caller as method from edges e where not exists (select 1 from edges x where x.callee_class = e.caller_class and x.callee = e.caller)"),
     "hotspots": (lambda f, s, d: G.hotspots(f), f"{_CALLS} select callee_class class, count(*)::bigint callers from calls group by 1 order by callers desc, class limit 30"),
     "unused_methods": (lambda f, s, d: G.unused_methods(f), "select distinct class, name from methods m where not exists (select 1 from edges where callee_class = m.class and callee = m.name)"),
-    "unused_types": (lambda f, s, d: G.unused_types(f), """select name, 'unreferenced' why from types where not is_interface and name not in (select split_part(import, '.', 3) from imports) and name not in (select type from fields)
+    "unused_types": (lambda f, s, d: G.unused_types(_with_constructors(f)), """select name, 'unreferenced' why from types where not is_interface and name not in (select split_part(import, '.', 3) from imports) and name not in (select type from fields) and name not in (select super_class from types where not is_interface)
         union all select name, 'unimplemented' from types where is_interface and name not in (select interface from implements)"""),
-    "related": (lambda f, s, d: G.related(f), f"""{_CALLS}, e as (select * from calls where caller_class <> callee_class), x as (select distinct class, type as other, 3 s from fields union all select * from (select caller_class, callee_class, 2 from (select distinct caller_class, callee_class, callee from e)) union all select * from (select callee_class, caller_class, 2 from (select distinct callee_class, caller_class, caller from e))),
+    "related": (lambda f, s, d: G.related(f), f"""{_CALLS}, e as (select * from calls where caller_class <> callee_class), x as (select distinct class, type as other, 3 s from fields union all select * from (select caller_class, callee_class, 2 from (select distinct caller_class, callee_class, callee from e)) union all select * from (select callee_class, caller_class, 2 from (select distinct callee_class, caller_class, caller from e))
+            union all select a.name, b.name, 1 from types a join types b on a.package = b.package),
         g as (select class, other, sum(s)::bigint score from x where class <> other group by 1, 2), r as (select *, row_number() over (partition by class order by score desc, other)::int rank from g) select class, other, score, rank from r where rank <= 15"""),
     "impact": (lambda f, s, d: G.impact(f, None, 1000), f"""{_BACK}, r as (with recursive r(seed, node) as (select distinct class || '.' || name, class || '.' || name from methods union select seed, dst from r join back on src = node) select * from r),
         t as (select seed, count(distinct split_part(node, '.', 1)) n from r where seed <> node group by 1), q as (select src, count(distinct split_part(dst, '.', 1)) n from back where src <> dst group by 1)
         select class || '.' || name as target, coalesce(q.n, 0)::bigint direct, coalesce(t.n, 0)::bigint transitive, case when coalesce(t.n, 0) = 0 then 'none' when t.n <= 3 then 'low' when t.n <= 10 then 'medium' else 'high' end risk from methods left join t on seed = class || '.' || name left join q on src = class || '.' || name"""),
-    "call_chains": (lambda f, s, d: G.call_chains(f, f.methods, 6), f"""{_BACK}, p as (with recursive p(target, path, top) as (select distinct class || '.' || name, [class || '.' || name], class || '.' || name from methods union all select target, list_append(path, dst), dst from p join back on src = top and not list_contains(path, dst) where len(path) <= 6) select * from p)
-        select target, array_to_string(list_reverse(path), ' -> ') chain, (len(path) - 1)::int steps from p where len(path) > 1 and (len(path) = 7 or not exists (select 1 from back where src = top and not list_contains(path, dst)))"""),
+    "call_chains": (lambda f, s, d: G.call_chains(f, f.methods), f"""{_BACK}, p as (with recursive p(target, path, top) as (select distinct class || '.' || name, [class || '.' || name], class || '.' || name from methods union all select target, list_append(path, dst), dst from p join back on src = top and not list_contains(path, dst) where len(path) <= 20) select * from p)
+        select target, array_to_string(list_reverse(path), ' -> ') chain, (len(path) - 1)::int steps from p where len(path) > 1 and (len(path) = 21 or not exists (select 1 from back where src = top and not list_contains(path, dst)))"""),
     "breaking_changes": (lambda f, s, d: G.breaking_changes(f), """su as (select super_class class, count(distinct name) n from types where super_class <> '' group by 1), im as (select interface class, count(distinct class) n from implements group by 1), k as (select super_class parent, name child from types where super_class <> '' union select interface, class from implements),
         o as (select parent class, count(distinct child) n from k join methods a on a.class = parent join methods b on b.class = child and b.name = a.name group by 1), x as (select class, coalesce(su.n, 0)::bigint subclasses, coalesce(im.n, 0)::bigint implementors from su full join im using (class))
-        select x.class, subclasses, implementors, coalesce(o.n, 0)::bigint overriding, case when subclasses + implementors = 0 then 'none' when subclasses + implementors <= 3 then 'low' when subclasses + implementors <= 10 then 'medium' else 'high' end risk from x left join o using (class) where x.class in (select name from types)"""),
+        select x.class, subclasses, implementors, coalesce(o.n, 0)::bigint overriding, concat_ws('; ', case when subclasses > 0 then 'signature changes break subclasses' end, case when implementors > 0 then 'added or removed methods break implementors' end, case when is_interface or is_abstract then 'a new abstract method must be written by all below' end, case when o.n > 0 then 'overridden signatures must change together' end) conditions, case when subclasses + implementors = 0 then 'none' when subclasses + implementors <= 3 then 'low' when subclasses + implementors <= 10 then 'medium' else 'high' end risk from x left join o using (class) join types t on t.name = x.class"""),
     "overridden": (lambda f, s, d: G.overridden(f), """k as (select super_class parent, name child from types where super_class <> '' union select interface, class from implements)
         select parent, child, string_agg(distinct a.name, ',' order by a.name) methods from k join methods a on a.class = parent join methods b on b.class = child and b.name = a.name group by 1, 2"""),
     "inheritance_depth": (lambda f, s, d: G.inheritance_depth(f), """r as (with recursive r(class, node, depth) as (select name, name, 0 from types union all select class, super_class, depth + 1 from r join types on name = node where super_class in (select name from types) and depth < 64 and super_class <> node) select * from r) select class, max(depth)::int as depth from r group by 1"""),
@@ -107,15 +157,12 @@ CATALOG = {
         s1 as (select seed, dst node from t join back on src = seed where split_part(src, '.', 1) not in (select name from tests)), s2 as (select seed, dst from s1 join back on src = node where split_part(src, '.', 1) not in (select name from tests) and dst <> seed and (seed, dst) not in (select (seed, node) from s1)),
         x as (select seed, split_part(node, '.', 1) test, 0 lv from s1 where node <> seed union all select seed, split_part(dst, '.', 1), 1 from s2 union all select seed, class, 1 from t join imports on split_part(import, '.', 3) = tc),
         g as (select seed, test, min(lv) lv from x where test in (select name from tests) group by 1, 2) select seed as target, test, case lv when 0 then 'high' when 1 then 'medium' else 'low' end confidence from g"""),
-    "diff_impact": (lambda f, s, d: G.diff_impact(f, f.types.select("path"), 3), f"""{_BACK}, d as (select callee_class class, count(*) n from edges where caller_class <> callee_class group by 1), s0 as (select class seed, class || '.' || name node from methods), s1 as (select distinct seed, dst node from s0 join back on src = node), s2 as (select distinct seed, dst node from s1 join back on src = node), s3 as (select distinct seed, dst node from s2 join back on src = node),
-        a as (select seed, count(distinct split_part(node, '.', 1)) n from (select * from s1 union select * from s2 union select * from s3) where split_part(node, '.', 1) <> seed group by 1)
-        select name as class, coalesce(d.n, 0)::bigint caller_edges, coalesce(a.n, 0)::bigint affected, case when coalesce(d.n, 0) = 0 then 'none' when d.n <= 5 then 'low' when d.n <= 20 then 'medium' else 'high' end risk from types left join d on d.class = name left join a on seed = name"""),
-    "diff_impact_whole": (lambda f, s, d: G.diff_impact(f, f.types.select("path")), f"""{_BACK}, d as (select callee_class class, count(*) n from edges where caller_class <> callee_class group by 1), r as (with recursive r(seed, node, depth) as (select class, class || '.' || name, 0 from methods union select seed, dst, depth + 1 from r join back on src = node where depth < 30) select * from r),
+    "diff_impact": (lambda f, s, d: G.diff_impact(f, f.types.select("path")), f"""{_BACK}, d as (select callee_class class, count(*) n from edges where caller_class <> callee_class group by 1), r as (with recursive r(seed, node, depth) as (select class, class || '.' || name, 0 from methods union select seed, dst, depth + 1 from r join back on src = node where depth < 30) select * from r),
         a as (select seed, count(distinct split_part(node, '.', 1)) n from r where depth > 0 and split_part(node, '.', 1) <> seed group by 1)
         select name as class, coalesce(d.n, 0)::bigint caller_edges, coalesce(a.n, 0)::bigint affected, case when coalesce(d.n, 0) = 0 then 'none' when d.n <= 5 then 'low' when d.n <= 20 then 'medium' else 'high' end risk from types left join d on d.class = name left join a on seed = name"""),
     "search_lines": (lambda f, s, d: T.search(T.source_lines(_documents(s, d).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))), "License|idiot").select("path", "line_no", "col", "word"), """l as (select doc_id::varchar as path, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), 1) as line_no from documents where length(text) > 0), x as (select *, instr(line, 'License') a, instr(line, 'idiot') b from l)
         select path, line_no::int as line_no, (case when a > 0 and (b = 0 or a < b) then a else b end)::int as col, case when a > 0 and (b = 0 or a < b) then 'License' else 'idiot' end word from x where a > 0 or b > 0"""),
-    "find_concepts": (lambda f, s, d: T.find(f, ["delete", "economy"]), """m as (select class, list(lower(name)) ms from methods group by 1), x as (select qualified, case when regexp_matches(lower(qualified), 'delete|remove|drop|clear|purge') then 5 when len(list_filter(coalesce(ms, []), lambda n: regexp_matches(n, 'delete|remove|drop|clear|purge'))) > 0 then 3 else 0 end a, case when contains(lower(qualified), 'economy') then 5 when len(list_filter(coalesce(ms, []), lambda n: contains(n, 'economy'))) > 0 then 3 else 0 end b from types left join m on class = name)
+    "find_concepts": (lambda f, s, d: T.find(f, ["delete", "economy"]), """m as (select class, list(lower(name)) ms from methods group by 1), x as (select qualified, case when contains(lower(qualified), 'delete') then 5 when len(list_filter(coalesce(ms, []), lambda n: contains(n, 'delete'))) > 0 then 3 else 0 end a, case when contains(lower(qualified), 'economy') then 5 when len(list_filter(coalesce(ms, []), lambda n: contains(n, 'economy'))) > 0 then 3 else 0 end b from types left join m on class = name)
         select qualified, (a + b)::int score from x where a > 0 and b > 0 order by score desc, qualified limit 15"""),
     "scope_keywords": (lambda f, s, d: T.scope(f, ["save", "germany", "brand1"]), """k as (select unnest(['save', 'germany', 'brand1']) w), t as (select name, qualified, sum(5 * contains(lower(name), w)::int + contains(lower(package), w)::int) s from types, k group by all), m as (select class, sum(3 * contains(lower(name), w)::int) s from methods, k group by 1), g as (select class, sum(2 * contains(lower(name), w)::int) s from fields, k group by 1)
         select qualified, (t.s + coalesce(m.s, 0) + coalesce(g.s, 0))::bigint score from t left join m on m.class = t.name left join g on g.class = t.name where t.s + coalesce(m.s, 0) + coalesce(g.s, 0) > 0 order by score desc, qualified limit 15"""),
@@ -141,8 +188,17 @@ CATALOG = {
         select 'no-promo' as rule, class, 'import ' || n.name what from imports join n on import = n.qualified where class in (select name from o) union select 'no-promo', class, 'field ' || n.name from fields join n on type = n.name where class in (select name from o)"""),
     "check_ctor_injection": (lambda f, s, d: R.constructor_injection(f), "select 'constructor-injection' as rule, name as class, 'fields without constructor parameters' what from types where not is_interface and name in (select class from fields)"),
     "check_deny_annotation": (lambda f, s, d: R.deny_annotation(f, "no-scheduled", "economy.**", "Scheduled"), "select distinct 'no-scheduled' as rule, class, '@Scheduled on ' || coalesce(method, class) what from annotations where name = 'Scheduled' and class in (select name from types where starts_with(qualified, 'economy.'))"),
+    "check_configured": (lambda f, s, d: R.configured(f, CONFIG), """o as (select name from types where starts_with(qualified, 'economy.')), n as (select qualified, name from types where starts_with(qualified, 'promo.')), v as (select name from types where name in (select class from annotations where name = 'Service' and method is null))
+        select 'no-promo' as rule, class, 'import ' || n.name what from imports join n on import = n.qualified where class in (select name from o) union select 'no-promo', class, 'field ' || n.name from fields join n on type = n.name where class in (select name from o)
+        union select 'inject', name, 'fields without constructor parameters' from types where not is_interface and name in (select class from fields) and name in (select name from v)
+        union select 'no-scheduled', class, '@Scheduled on ' || coalesce(method, class) from annotations where name = 'Scheduled' and class in (select name from o)"""),
+    "layers": (lambda f, s, d: R.layers(f, CONFIG), """select 'economy' as layer, qualified from types where starts_with(qualified, 'economy.') union all select 'promo', qualified from types where starts_with(qualified, 'promo.') union all select 'services', qualified from types where name in (select class from annotations where name = 'Service' and method is null)"""),
+    "verify_strict": (lambda f, s, d: R.verify(_throwing(f), _strict_spec(f)), """e as (select distinct class, name, start_line % 2 = 1 as t from methods), h as (select distinct class, name from methods)
+        select class, name, 'missing_throws' problem, unnest(case when t then ['TimeoutException'] else ['IOException', 'TimeoutException'] end) expected from e
+        union all select class, name, 'missing_annotation', 'Scheduled' from h where (class, name) not in (select (class, method) from annotations where name = 'Scheduled' and method is not null)"""),
     "internal_import": (lambda f, s, d: R.internal_import(f, ".brand3"), """select distinct 'internal-import' as rule, class, 'import ' || import what from imports join types on name = class where contains(import, '.brand3') and not starts_with(import, package || '.')"""),
     "lint": (lambda f, s, d: R.lint(f), """select distinct class, 'unknown type' problem, type what from fields where type not in (select name from types) and type not in (select split_part(import, '.', 3) from imports)
+        union all select distinct class, 'maybe not imported', type from fields join types on name = class where class in (select class from imports) and type not in (select name from types) and type not in (select split_part(import, '.', 3) from imports)
         union all select distinct class, 'never called', name from methods m where not is_public and not exists (select 1 from edges where callee_class = m.class and callee = m.name)"""),
     "verify_spec": (lambda f, s, d: R.verify(f, _spec(f)), """h as (select distinct class, name from methods), w as (select class, name from methods where start_line % 2 = 1 union select name, 'close' from types where end_line % 5 = 0)
         select class, name, 'missing_method' problem from w where (class, name) not in (select (class, name) from h) union all select class, name, 'undocumented_method' from h where class in (select class from w) and (class, name) not in (select (class, name) from w)"""),
@@ -159,9 +215,9 @@ CATALOG = {
     "checklist": (lambda f, s, d: D.checklist(f, f.methods), """t as (select distinct class, name from methods), c as (select distinct class, name, caller_class, caller from edges join t on callee_class = class and callee = name), n as (select *, count(*) over (partition by class, name) n from c),
         s as (select class, name, 'change the method' as text, 0 o from t union all select class, name, 'check call in ' || caller_class || '.' || caller, 1 from n where n <= 10 union all select class, name, 'check ' || count(*) || ' calls in ' || caller_class, 1 from n where n > 10 group by class, name, caller_class union all select class, name, 'run the tests', 2 from t)
         select class || '.' || name as target, row_number() over (partition by class, name order by o, text)::int as step, text from s"""),
-    "parsed_types": (lambda f, s, d: B.facts(_parsed(s, d)).types.select("qualified", "kind", "super_class", "path", "start_line", "end_line"), f"{_JAVA} select t || '.' || c as qualified, 'class' kind, case when k > 0 then u else '' end super_class, 'src/' || c || '.java' as path, 4 as start_line, 11 + (z % 4 = 0)::int + (z % 5 = 0)::int as end_line from j"),
-    "parsed_methods": (lambda f, s, d: B.facts(_parsed(s, d)).methods.drop("path"), f"""{_JAVA} select c as class, 'parent' as name, 0 as params, u as return_type, 'public ' || u || ' parent()' as signature, true as is_public, 6 as start_line, 6 as end_line from j union all select c, 'run', 0, 'void', 'public void run()', true, 7, 7 from j union all select c, 'go', 1, 'void', 'void go(int n)', false, 8, 10 + (z % 4 = 0)::int + (z % 5 = 0)::int from j"""),
-    "parsed_edges": (lambda f, s, d: B.facts(_parsed(s, d)).edges.where("callee not in ('parent', 'go')").select("caller_class", "caller", "callee_class", "callee", "callee_params", "line"), f"""{_JAVA} select c as caller_class, 'run' as caller, v.u as callee_class, 'run' as callee, 0 as callee_params, 7 as line from j join (select c pc, u from j) v on v.pc = j.u union all select c, 'go', u, 'run', 0, 9 from j"""),
+    "parsed_types": (lambda f, s, d: _parsed_facts(s, d).types.select("qualified", "kind", "super_class", "path", "start_line", "end_line"), f"{_JAVA} select t || '.' || c as qualified, 'class' kind, case when k > 0 then u else '' end super_class, 'src/' || c || '.java' as path, 4 as start_line, 11 + (z % 4 = 0)::int + (z % 5 = 0)::int as end_line from j"),
+    "parsed_methods": (lambda f, s, d: _parsed_facts(s, d).methods.drop("path"), f"""{_JAVA} select c as class, 'parent' as name, 0 as params, u as return_type, 'public ' || u || ' parent()' as signature, true as is_public, 6 as start_line, 6 as end_line from j union all select c, 'run', 0, 'void', 'public void run()', true, 7, 7 from j union all select c, 'go', 1, 'void', 'void go(int n)', false, 8, 10 + (z % 4 = 0)::int + (z % 5 = 0)::int from j"""),
+    "parsed_edges": (lambda f, s, d: _parsed_facts(s, d).edges.select("caller_class", "caller", "callee_class", "callee", "callee_params", "line"), f"""{_JAVA} select c as caller_class, 'run' as caller, v.u as callee_class, 'run' as callee, 0 as callee_params, 7 as line from j join (select c pc, u from j) v on v.pc = j.u union all select c, 'go', u, 'run', 0, 9 from j union all select c, 'run', u, 'parent', 0, 7 from j union all select c, 'run', c, 'go', 1, 7 from j"""),
     "smells": (lambda f, s, d: B.smells(_parsed(s, d)).select("class", "method", "rule", "severity", "line"), f"""{_JAVA}, a as (select * from j), b as (select c as class, 'go' as method, 'CATCH_GENERIC_EXCEPTION' as rule, 'WARNING' severity, 9 as line from a union all select c, 'go', 'EMPTY_CATCH_BLOCK', 'WARNING', 9 from a where z % 3 = 2 union all select c, 'go', 'SILENT_CATCH_RETURN', 'INFO', 9 from a where z % 3 = 0 union all select c, 'run', 'MAGIC_NUMBER', 'INFO', 7 from a where z not in (0, 1) union all select c, 'go', 'SWITCH_WITHOUT_DEFAULT', 'WARNING', 10 from a where z % 4 = 0 union all select c, 'go', 'EMPTY_IF_BODY', 'WARNING', 10 + (z % 4 = 0)::int from a where z % 5 = 0
         union all select c, 'go', 'UNUSED_PARAMETER', 'INFO', 8 from a where z % 4 <> 0 and z % 5 <> 0) select * from b"""),
     "smells_by_rule": (lambda f, s, d: B.smells(_parsed(s, d)).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("class").alias("classes")), f"""{_JAVA}, r as (select 'CATCH_GENERIC_EXCEPTION' as rule, 'WARNING' severity from j union all select 'EMPTY_CATCH_BLOCK', 'WARNING' from j where z % 3 = 2 union all select 'SILENT_CATCH_RETURN', 'INFO' from j where z % 3 = 0 union all select 'MAGIC_NUMBER', 'INFO' from j where z not in (0, 1) union all select 'SWITCH_WITHOUT_DEFAULT', 'WARNING' from j where z % 4 = 0 union all select 'EMPTY_IF_BODY', 'WARNING' from j where z % 5 = 0 union all select 'UNUSED_PARAMETER', 'INFO' from j where z % 4 <> 0 and z % 5 <> 0)
@@ -174,7 +230,7 @@ def query(name: str):
     run = CATALOG[name][0]
 
     def f(spark, sf_dir):
-        return run(from_tables(ship(spark), sf_dir), spark, sf_dir)
+        return run(facts(spark, sf_dir), spark, sf_dir)
 
     f.__name__ = name
     return f
