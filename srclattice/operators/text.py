@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..facts.model import Facts, joined
+from ..session import checkpointed
 
 #: What a concept is called in code, the likeliest words first.
 CONCEPTS = {
@@ -129,44 +130,86 @@ def repo_map(f: Facts, budget: int = 2000, signatures: int = 3) -> DataFrame:
     m = m.groupBy("class").agg(F.sum(F.length("signature") + 5).alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "signature"))), lambda x: x["signature"]), "; ").alias("signatures"))
     t = f.types.select(F.col("name").alias("class"), "package").join(ext, "class", "left").join(m, "class", "left").fillna(0, ["callers", "size"]).fillna("", ["signatures"])
     t = t.withColumn("tokens", F.floor((20 + F.length("class") + F.length("package") + F.col("size")) / 4))
-    # as each costs six tokens at least, no more than budget / 6 + 1 can fit: a top-k, then a running sum over few rows
-    t = t.orderBy(F.desc("callers"), "class").limit(budget // 6 + 1)
+    # as each costs five tokens at least, no more than budget / 5 + 1 can fit: a top-k, then a running sum over few rows
+    t = t.orderBy(F.desc("callers"), "class").limit(budget // 5 + 1)
     order = Window.orderBy(F.desc("callers"), "class")
     t = t.withColumn("r", F.row_number().over(order)).withColumn("used", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return t.where((F.col("used") <= budget) | (F.col("r") == 1)).select("class", "callers", "tokens", "signatures")
 
 
-def similar(f: Facts, least: float = 0.3, common: int = 1000) -> DataFrame:
+def similar(f: Facts, least: float = 0.3) -> DataFrame:
     """(a, b, score): types whose similarity is least or more, in percent.
 
-    0.7 times the Jaccard similarity of method names and 0.3 times the share of common
-    interfaces. Only types that share a method or an interface can reach a score, so pairs
-    come from joins on those names, never from a cross product.
+    0.7 times the Jaccard similarity of method names and 0.3 times the share of common interfaces.
+    Pairs with an interface in common meet there. All others need a Jaccard similarity of t = least / 0.7, so an exact
+    prefix filter finds them: with names in the order of their rarity, the first common one is among the
+    first n - ceil(t * n) + 1 of both, and enough names follow it. A name that every type has is
+    in hardly any prefix. Types carry their names to where they meet; nothing is shuffled by pairs.
     """
     m = f.methods.select("class", "name").distinct()
-    i = f.implements.select("class", F.col("interface").alias("name")).distinct()
-
-    def shared(x, n, c):
-        sizes = x.groupBy("class").agg(F.count("*").alias("n"))
-        both = x.toDF("a", "name").join(x.toDF("b", "name"), "name").where("a < b").groupBy("a", "b").agg(F.count("*").alias(c))
-        return both, sizes
-
-    mm, ms = shared(m, "nm", "cm")
-    ii, isz = shared(i, "ni", "ci")
-    p = mm.join(ii, ["a", "b"], "full").fillna(0, ["cm", "ci"])
-    for s, n in ((ms, "m"), (isz, "i")):
-        p = p.join(s.toDF("a", f"a{n}"), "a", "left").join(s.toDF("b", f"b{n}"), "b", "left").fillna(0, [f"a{n}", f"b{n}"])
-    jac = F.coalesce(F.col("cm") / F.nullif(F.col("am") + F.col("bm") - F.col("cm"), F.lit(0)), F.lit(0.0))
-    ifs = F.coalesce(F.col("ci") / F.nullif(F.greatest("ai", "bi"), F.lit(0)), F.lit(0.0))
-    score = F.lit(0.7) * jac + F.lit(0.3) * ifs
-    return p.withColumn("s", score).where(F.col("s") >= least).select("a", "b", F.floor(F.col("s") * 100 + 0.5).cast("bigint").alias("score"))
+    rarity = m.groupBy("name").agg(F.count("*").alias("often")).orderBy("often", "name")
+    ids = checkpointed(rarity.select("name", F.monotonically_increasing_id().alias("t")))
+    at = F.pmod(F.xxhash64("t"), F.lit(256)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % 64)
+    bits = F.struct(*[F.bit_or(F.when(F.floor(at / 64) == k, bit).otherwise(0)).alias(f"w{k}") for k in range(4)])
+    ms = m.join(ids, "name").groupBy("class").agg(F.sort_array(F.collect_list("t")).alias("m"), bits.alias("w"))
+    ins = f.implements.groupBy("class").agg(F.sort_array(F.collect_set("interface")).alias("i"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    sets = checkpointed(ms.join(ins, "class", "full").select("class", none("m", "bigint").alias("m"), none("i", "string").alias("i"), "w"))
+    size, both = F.size, F.array_intersect
+    jac = F.coalesce(size(both("ma", "mb")) / F.nullif(size("ma") + size("mb") - size(both("ma", "mb")), F.lit(0)), F.lit(0.0))
+    ifs = F.coalesce(size(both("ia", "ib")) / F.nullif(F.greatest(size("ia"), size("ib")), F.lit(0)), F.lit(0.0))
+
+    def meet(x, near, c, also):
+        """Pairs, each at the first that its types have in common; cheap conditions come first."""
+        pairs = x.toDF("a", "ma", "ia", "wa", "t", "pa").join(x.toDF("b", "mb", "ib", "wb", "t", "pb"), "t").where(F.col("a") < F.col("b")).where(near)
+        pairs = pairs.where(F.get(both(f"{c}a", f"{c}b"), F.lit(0)) == F.col("t")).where(also)
+        return pairs.withColumn("s", F.lit(0.7) * jac + F.lit(0.3) * ifs).where(F.col("s") >= least).select("a", "b", F.floor(F.col("s") * 100 + 0.5).cast("bigint").alias("score"))
+
+    found = meet(sets.select("class", "m", "i", "w", F.explode("i"), F.lit(0)), F.lit(True), "i", F.lit(True))
+    t = least / 0.7
+    if t > 1:
+        return found
+    head = F.slice("m", 1, F.least(size("m"), size("m") - F.ceil(size("m") * t - 1e-9).cast("int") + 1))
+    na, nb = size("ma"), size("mb")
+    need = (na + nb) * (t / (1 + t)) - 1e-9  # names in common, at least
+    apart = sum((F.bit_count(F.col(f"wa.w{k}").bitwiseXOR(F.col(f"wb.w{k}"))) for k in range(4)), F.lit(0))
+    near = (F.least(na - F.col("pa"), nb - F.col("pb")) >= need) & ((na + nb - apart) / 2 >= need)
+    return found.unionByName(meet(sets.select("class", "m", "i", "w", F.posexplode(head).alias("pos", "t")).select("class", "m", "i", "w", "t", "pos"), near, "m", ~F.arrays_overlap("ia", "ib")))
+
+
+def _near_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, n2): names within three edits of each other, or of which one contains the other, in lower case; asked has (name), names (n2).
+
+    Of four pieces of a name three edits leave one as it is, at most three places from where it was; so the pieces
+    of each name meet the same stretches of those that are asked. What contains a name has it among its substrings.
+    """
+    a = asked.select("name", F.lower("name").alias("a")).distinct()
+    b = names.select("n2", F.lower("n2").alias("b")).distinct()
+    start = lambda k, n: F.floor(n * k / 4).cast("int")
+    key = lambda n, k, piece: F.struct(n.alias("n"), F.lit(k).alias("k"), piece.alias("p"))
+    n = F.length("b")
+    pieces = F.array(*[key(n, k, F.substring("b", start(k, n) + 1, start(k + 1, n) - start(k, n))) for k in range(4)])
+    fits = F.sequence(F.greatest(F.length("a") - 3, F.lit(0)), F.length("a") + 3)
+
+    def stretches(n, k):
+        size = start(k + 1, n) - start(k, n)
+        at = F.filter(F.transform(F.array(*[F.lit(d) for d in range(-3, 4)]), lambda d: start(k, n) + d), lambda p: (p >= 0) & (p + size <= F.length("a")))
+        return F.transform(at, lambda p: key(n, k, F.substring(F.col("a"), p + 1, size)))
+
+    asks = F.flatten(F.transform(fits, lambda n: F.flatten(F.array(*[stretches(n, k) for k in range(4)]))))
+    edits = a.select("name", F.explode(F.array_distinct(asks)).alias("x")).join(b.select("n2", F.explode(pieces).alias("x")), "x").select("name", "n2")
+    within = lambda s, sizes: F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda z: (z > 0) & (z <= F.length(s))), lambda z: F.transform(F.sequence(F.lit(1), F.length(s) - z + 1), lambda p: F.substring(s, p, z)))))
+    inner = a.where("a != ''").select("name", F.explode(within(F.col("a"), F.sequence(F.lit(1), F.length("a")))).alias("b")).join(b, "b").select("name", "n2")
+    sizes = F.broadcast(a.agg(F.collect_set(F.length("a")).alias("sizes")))  # one row, of as many numbers as names have lengths
+    outer = b.where("b != ''").crossJoin(sizes).select("n2", F.explode(within(F.col("b"), F.col("sizes"))).alias("a")).join(a, "a").select("name", "n2")
+    return edits.unionByName(inner).unionByName(outer).distinct()
 
 
 def validate(f: Facts, asked: DataFrame, k: int = 5) -> DataFrame:
     """(class, name, exists, suggestion, score): for methods that do not exist the k closest ones.
 
     The same name in another class 100; at most three edits away 80 - 10 * edits; a common prefix 60; contained 40.
-    Within two names of a bounded edit distance, so candidates are a theta join with the few that were asked.
     """
     known = f.methods.select("class", "name").distinct()
     there = asked.join(known.withColumn("exists", F.lit(True)), ["class", "name"], "left").fillna(False, ["exists"])
@@ -174,7 +217,7 @@ def validate(f: Facts, asked: DataFrame, k: int = 5) -> DataFrame:
     d = F.levenshtein(a, b)
     score = F.greatest(F.when(F.col("name") == F.col("n2"), 100).otherwise(0), F.when(d <= 3, 80 - 10 * d).otherwise(0), F.when(a.startswith(b) | b.startswith(a), 60).otherwise(0), F.when(a.contains(b) | b.contains(a), 40).otherwise(0))
     names = known.select(F.col("name").alias("n2")).distinct()
-    near = there.where("not exists").select("name").distinct().crossJoin(names).withColumn("score", score).where("score > 0")
+    near = _near_names(there.where("not exists").select("name").distinct(), names).withColumn("score", score).where("score > 0")
     of_name = Window.partitionBy("n2").orderBy("c2")
     few = known.toDF("c2", "n2").withColumn("r", F.row_number().over(of_name)).where(F.col("r") <= k)  # of one name no more can be among the best
     near = near.join(few, "n2").withColumn("suggestion", F.concat_ws(".", "c2", "n2"))

@@ -198,7 +198,7 @@ CATALOG = {
         union all select class, name, 'missing_annotation', 'Scheduled' from h where (class, name) not in (select (class, method) from annotations where name = 'Scheduled' and method is not null)"""),
     "internal_import": (lambda f, s, d: R.internal_import(f, ".brand3"), """select distinct 'internal-import' as rule, class, 'import ' || import what from imports join types on name = class where contains(import, '.brand3') and not starts_with(import, package || '.')"""),
     "lint": (lambda f, s, d: R.lint(f), """select distinct class, 'unknown type' problem, type what from fields where type not in (select name from types) and type not in (select split_part(import, '.', 3) from imports)
-        union all select distinct class, 'maybe not imported', type from fields join types on name = class where class in (select class from imports) and type not in (select name from types) and type not in (select split_part(import, '.', 3) from imports)
+        union all select distinct class, 'maybe not imported', type from fields join types on types.name = class where class in (select class from imports) and type not in (select name from types) and type not in (select split_part(import, '.', 3) from imports)
         union all select distinct class, 'never called', name from methods m where not is_public and not exists (select 1 from edges where callee_class = m.class and callee = m.name)"""),
     "verify_spec": (lambda f, s, d: R.verify(f, _spec(f)), """h as (select distinct class, name from methods), w as (select class, name from methods where start_line % 2 = 1 union select name, 'close' from types where end_line % 5 = 0)
         select class, name, 'missing_method' problem from w where (class, name) not in (select (class, name) from h) union all select class, name, 'undocumented_method' from h where class in (select class from w) and (class, name) not in (select (class, name) from w)"""),

@@ -4,6 +4,7 @@ import random
 
 import __spark_entry__
 from srclattice.operators import graph as G
+from srclattice.plans import catalog
 from tests.test_graph import edge, facts, methods, typ
 
 SF = "/root/testdata/sf0.001"
@@ -16,8 +17,8 @@ def test_diff_impact_goes_thirty_calls_up(spark):
 
 
 def test_registered_diff_impact_is_not_cut_at_three_calls(spark):
-    rows = {n: {r["class"]: r.affected for r in __spark_entry__.queries()[n](spark, SF).collect()} for n in ("diff_impact", "diff_impact_whole")}
-    near, far = rows["diff_impact"], rows["diff_impact_whole"]
+    f = catalog.facts(spark, SF)
+    near, far = ({r["class"]: r.affected for r in df.collect()} for df in (G.diff_impact(f, f.types.select("path"), 3), __spark_entry__.queries()["diff_impact"](spark, SF)))
     assert near.keys() == far.keys() and all(far[c] >= near[c] for c in far) and any(far[c] > near[c] for c in far)
 
 
