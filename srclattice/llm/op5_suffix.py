@@ -14,6 +14,12 @@ first occurrence (smallest document id, then place in it) stays and the others a
    words cannot matter; suffixes that agree that far are in any order among themselves.
 3. Adjacent suffixes with equal prefixes of MIN_WORDS words are repeats.
 
+Between 1 and 2 the stretches are divided into pieces that overlap by MIN_WORDS - 1 words,
+so each window of MIN_WORDS words begins in one piece; where, the words decide, so that
+copies of a long passage have equal pieces. Equal pieces are sorted once, as their first
+occurrence; the copies are repeats from end to end. One row has the places of all copies
+of a piece, 28 bytes for each.
+
 Blocks of strings are rows with packed integers. A level sends each block's triples to
 the owner of their range (splitters come from a sample) and gets the names back; nothing
 but splitters is gathered on the driver. Triples are made unique in a block before they
@@ -32,6 +38,8 @@ untouched whatever their names. Ids that are no integers are ordered by their ha
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -88,7 +96,14 @@ def _fingerprints(min_words: int):
     return run
 
 
+def _anchors(syms: np.ndarray, p: np.ndarray) -> list[int]:
+    """Of places in a text an eighth, chosen by the words there: the same ones in equal passages."""
+    h = mix(syms[p].astype(np.uint64) * M1 + syms[np.minimum(p + 1, len(syms) - 1)].astype(np.uint64))
+    return p[h % np.uint64(8) == 0].tolist()
+
+
 def _stretches(min_words: int):
+    """Pieces of the stretches: each window of min_words words begins in one of them, and equal pieces have equal h."""
     k = max(1, min_words // 2)
 
     def run(batches):
@@ -100,18 +115,33 @@ def _stretches(min_words: int):
                 p = np.sort(np.array(pos, np.int64))
                 lo, hi = np.maximum(p - (min_words - k), 0), np.minimum(p + min_words, len(syms))
                 new = np.concatenate([[True], lo[1:] > np.maximum.accumulate(hi)[:-1]])
-                for s, e in zip(lo[new].tolist(), np.maximum.reduceat(hi, np.flatnonzero(new)).tolist()):
-                    out.append((key, NO_ID if no is None else no, s, e - s, syms[s:e].tobytes()))
+                ends = np.maximum.reduceat(hi, np.flatnonzero(new))
+                for s, e in zip(lo[new].tolist(), ends.tolist()):
+                    cuts = [s]
+                    for c in _anchors(syms, p[(p > s) & (p <= e - min_words)] if len(ends) > 1 else p[p <= e - min_words]):
+                        if c >= cuts[-1] + min_words:
+                            cuts.append(c)
+                    for a, b in zip(cuts, [*(c + min_words - 1 for c in cuts[1:]), e]):
+                        x = syms[a:b].tobytes()
+                        out.append((md5(x).digest(), NO_ID if no is None else no, int.from_bytes(key[:8], "little", signed=True), a, key, b - a, x))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "ord", "start", "n", "syms"])
+                types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["h", "ord", "k", "start", "key", "n", "syms"])
 
     return run
 
 
 def _pack(t: pa.Table) -> pa.Table:
-    t = t.sort_by([("key", "ascending"), ("start", "ascending")])
+    """A block of pieces that are all different. Each has its first place (keys, ords, starts) and those of its copies (more: how many)."""
+    t = t.sort_by("h").combine_chunks()
     lens = t["n"].to_numpy().astype(np.int32)
-    meta = {"keys": b"".join(t["key"].to_pylist()), "ords": t["ord"].to_numpy().tobytes(), "starts": t["start"].to_numpy().astype(np.int32).tobytes()}
+    occ = pa.concat_arrays(t["occ"].chunks)
+    many, at = occ.value_lengths().to_numpy().astype(np.int64), occ.flatten()
+    lead = np.zeros(len(at), bool)
+    lead[np.cumsum(many) - many] = True
+    first, rest = at.filter(pa.array(lead)), at.filter(pa.array(~lead))
+    meta = {"keys": b"".join(first.field("key").to_pylist()), "ords": first.field("ord").to_numpy().tobytes(), "starts": first.field("start").to_numpy().astype(np.int32).tobytes()}
+    meta |= {"more": (many - 1).astype(np.int32).tobytes(), "ckeys": b"".join(rest.field("key").to_pylist()), "cstarts": rest.field("start").to_numpy(zero_copy_only=False).astype(np.int32).tobytes()}
     return pa.table({"blk": pa.array([t["blk"][0].as_py()], pa.int32()), "lens": [lens.tobytes()], "syms": [b"".join(t["syms"].to_pylist())]} | {k: [v] for k, v in meta.items()})
 
 
@@ -212,10 +242,9 @@ def _ask_names(cuts: np.ndarray):
                 u, _ = _unique(_triples(syms, left, at))
                 to = _route(u, cuts)
                 edge = np.flatnonzero(np.diff(to, prepend=-1))
-                for lo, hi in zip(edge, [*edge[1:], len(to)]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(to[lo])], pa.int32()), pa.array([b["blk"][i].as_py()], pa.int32()), pa.array([np.concatenate([x[lo:hi] for x in u]).tobytes()])], ["own", "blk", "t"]
-                    )
+                parts = [np.concatenate([x[lo:hi] for x in u]).tobytes() for lo, hi in zip(edge, [*edge[1:], len(to)])]
+                # one batch a block: with one for each owner, batches would grow with the square of the number of blocks
+                yield pa.RecordBatch.from_arrays([pa.array(to[edge], pa.int32()), pa.array([b["blk"][i].as_py()] * len(edge), pa.int32()), pa.array(parts, pa.binary())], ["own", "blk", "t"])
 
     return run
 
@@ -420,11 +449,18 @@ def _spans(min_words: int):
         (idx, first, doc), _ = _unpack(found, [np.int32, np.int8, np.int64]) if found.num_rows else ([np.zeros(0, d) for d in (np.int32, np.int8, np.int64)], None)
         source = np.full(n + 1, NO_ID)
         source[idx] = doc
+        # every window of a piece with copies is repeated, if only by these
+        more, (_, left) = _arr(block["more"][0], np.int32), _within(lens)
+        copied = np.repeat(more > 0, lens) & (left >= min_words - 1)
+        alone = copied.copy()
+        alone[idx] = False
+        source[:-1][alone] = np.repeat(_arr(block["ords"][0], np.int64), lens)[alone]
+        every = np.union1d(idx, np.flatnonzero(copied))
         rows: dict[str, list] = {k: [] for k in ("key", "cut", "s", "e", "src")}
         keys = block["keys"][0].as_py()
         base, starts = np.cumsum(lens) - lens, _arr(block["starts"][0], np.int32)
         for cut in (0, 1):
-            use = idx if not cut else idx[first == 0]
+            use = every if not cut else idx[first == 0]
             step = np.zeros(n + min_words + 1, np.int32)
             np.add.at(step, use, 1)
             np.add.at(step, use + min_words, -1)
@@ -435,11 +471,33 @@ def _spans(min_words: int):
             rows["s"] += (a + shift).tolist()
             rows["e"] += (e + shift).tolist()
             rows["src"] += source[a].tolist()
+            of = np.repeat(np.arange(len(lens)), more)
+            ckeys, cs = block["ckeys"][0].as_py(), _arr(block["cstarts"][0], np.int32)
+            rows["key"] += [ckeys[16 * i : 16 * i + 16] for i in range(len(of))]
+            rows["cut"] += [bool(cut)] * len(of)
+            rows["s"] += cs.tolist()
+            rows["e"] += (cs + lens[of]).tolist()
+            rows["src"] += source[base[of]].tolist()
         return pa.table([pa.array(rows["key"], pa.binary()), pa.array(rows["cut"], pa.bool_()), pa.array(rows["s"], pa.int32()), pa.array(rows["e"], pa.int32()), pa.array(rows["src"], pa.int64())], names=list(rows))
 
     return run
 
 
+def _joined(batches):
+    """Spans of one text that touch or overlap, as one."""
+    for b in batches:
+        lists = b.column("spans")
+        x = lists.flatten()
+        s, e, src = (x.field(k).to_numpy() for k in ("s", "e", "src"))
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        shift = row.astype(np.int64) << 32
+        until = np.maximum.accumulate(e + shift)
+        head = np.flatnonzero(np.concatenate([[True], (s + shift)[1:] > until[:-1]])) if len(s) else np.zeros(0, np.int64)
+        last = np.concatenate([head[1:], [len(s)]])[: len(head)] - 1
+        of = pa.array(row[head])
+        yield pa.RecordBatch.from_arrays([b.column("key").take(of), b.column("cut").take(of), pa.array(s[head]), pa.array((until[last] - shift[last]).astype(np.int32)), pa.array(src[head])], ["key", "cut", "s", "e", "src"])
+
+
 def _order(docs: DataFrame, doc_id: str) -> Column:
     """What documents are ordered by: their ids, or hashes of these if they are no integers."""
     c = F.col(doc_id)
@@ -458,18 +516,22 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     twice = fps.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("fp")
     marked = fps.join(twice, "fp").groupBy("key").agg(F.collect_set("pos").alias("pos"))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("ord"))
-    stretches = scratch.save(marked.join(texts, "key").select("key", "text", "ord", "pos").mapInArrow(tidied(_stretches(min_words)), "key binary, ord bigint, start int, n int, syms binary"), "stretches")
+    stretches = scratch.save(marked.join(texts, "key").select("key", "text", "ord", "pos").mapInArrow(tidied(_stretches(min_words)), "h binary, ord bigint, k bigint, start int, key binary, n int, syms binary"), "stretches")
     scratch.drop(fps)
-    words = stretches.agg(F.sum("n")).first()[0] or 0
+    pieces = scratch.save(stretches.groupBy("h").agg(F.first("n").alias("n"), F.first("syms").alias("syms"), F.sort_array(F.collect_list(F.struct("ord", "k", "start", "key"))).alias("occ")), "pieces")
+    scratch.drop(stretches)
+    words = pieces.agg(F.sum("n")).first()[0] or 0
     out = "key binary, cut boolean, s int, e int, src bigint"
     if not words:
         return spark.createDataFrame([], out)
     n_blocks = max(1, round(words / BLOCK_WORDS))
-    blocks = stretches.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")).groupBy("blk").applyInArrow(_pack, BLOCK + ", keys binary, ords binary, starts binary")
+    blocks = pieces.withColumn("blk", F.pmod(F.xxhash64("h"), F.lit(n_blocks)).cast("int")).groupBy("blk").applyInArrow(_pack, BLOCK + ", keys binary, ords binary, starts binary, more binary, ckeys binary, cstarts binary")
     blocks = scratch.save(blocks, "blocks")
-    scratch.drop(stretches)
+    scratch.drop(pieces)
     found = suffix_order(blocks, scratch, n_blocks, min_words)
-    spans = scratch.save(blocks.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_spans(min_words), out), "spans")
+    spans = blocks.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(_spans(min_words), out)
+    spans = spans.groupBy("key", "cut").agg(F.sort_array(F.collect_list(F.struct("s", "e", "src"))).alias("spans"))
+    spans = scratch.save(spans.mapInArrow(tidied(_joined), out), "spans")
     scratch.drop(blocks, found)
     return spans
 

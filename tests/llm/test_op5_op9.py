@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from srclattice.llm import op5_suffix as s
@@ -79,6 +81,31 @@ def test_few_owners_and_a_sample_of_blocks(spark, monkeypatch):
     assert sum(x.cut_words for x in s.repeats(df).collect()) == 27 * 60
 
 
+def test_long_copies_with_other_beginnings_are_sorted_once(spark, monkeypatch):
+    k, sizes, order = 8, [], s.suffix_order
+    monkeypatch.setattr(s, "suffix_order", lambda b, *x: (len(x) == 3 and sizes.append(b.selectExpr("sum(length(syms)) / 8").first()[0])) or order(b, *x))
+    body = words(5, 900).split()
+    docs = [(i, f"a{i} b{i} " + " ".join(body[: 900 - 5 * i] + [f"c{i}"] + body[850:])) for i in range(20)] + [(20, " ".join(["la"] * 200)), (21, " ".join(["la"] * 150 + body[300:500] + ["la"] * 90)), (None, " ".join(body[100:400]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got, first = {}, {}
+    for x in s.repeats(df, min_words=k).collect():
+        got[x.doc_id] = got.get(x.doc_id, 0) + x.cut_words
+        first[x.doc_id, x.start_word] = x.first_doc_id
+    want = brute_cuts([(10**6 if d is None else d, t) for d, t in docs], k)
+    assert {10**6 if d is None else d: n for d, n in got.items() if n} == want
+    assert all(first[i, 2] == 0 for i in range(20)) and first[21, 0] == 20 and first[None, 0] == 0
+    assert sizes[0] < sum(len(t.split()) for _, t in docs) / 3
+
+
+def test_a_block_asks_all_owners_in_one_batch():
+    h = np.arange(1, 901, dtype=np.int64)
+    block = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.array([900], np.int32).tobytes()]), pa.array([h.tobytes()])], ["blk", "lens", "syms"])
+    cuts = np.stack([np.arange(100, 900, 100)] * 3, 1)
+    out = list(s._ask_names(cuts)([block]))
+    assert len(out) == 1 and out[0].column("own").to_pylist() == list(range(9))
+    assert sum(len(x) for x in out[0].column("t").to_pylist()) == 600 * 24
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
