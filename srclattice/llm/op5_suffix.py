@@ -52,6 +52,8 @@ from .common import M1, M2, M3, PLAIN, Scratch, mix, ragged, slices, text_key, t
 MIN_WORDS, BLOCK_WORDS, SPLIT_SAMPLE = 50, 300_000, 20_000
 #: Owners of ranges at most: their bounds are known to every task, and SPLIT_EACH triples for each of them meet on the driver.
 OWNERS, SPLIT_EACH = 200_000, 8
+#: Bytes that go from Python to the JVM at once, if more than one row is to go.
+BATCH_BYTES = 1 << 20
 BLOCK = "blk int, lens binary, syms binary"
 NO_ID = np.iinfo(np.int64).max
 
@@ -269,40 +271,65 @@ def _strings_of_names(block: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table({"blk": block["blk"].cast(pa.int32()), "lens": [sizes.tobytes()], "syms": [names[which].tobytes()]})
 
 
+def _prefixes(syms: np.ndarray, min_words: int) -> np.ndarray:
+    """For each position the hash of the min_words symbols from there on, from powers of two."""
+    h, size, power = syms.astype(np.uint64), 1, M1
+    total, done = None, 0
+    for bit in bin(min_words)[:1:-1]:
+        if bit == "1":
+            total = h if total is None else total * power + np.roll(h, -done)
+            done += size
+        h, size, power = h * power + np.roll(h, -size), 2 * size, np.uint64(int(power) ** 2 % 2**64)
+    return mix(total).view(np.int64)
+
+
+def _parcels(blk: int, to: np.ndarray, types: list, cols) -> pa.Table:
+    """A row for each owner with its entries of all columns, in small batches; cols makes the columns one at a time."""
+    order = np.argsort(to, kind="stable")
+    edge = np.flatnonzero(np.diff(to[order], prepend=-1))
+    own, ends = to[order[edge]], np.append(edge[1:], len(order))[: len(edge)]
+    width, before = sum(np.dtype(d).itemsize for d in types), 0
+    data = np.empty(width * len(order), np.uint8)
+    for col, kind in zip(cols, types):
+        size = np.dtype(kind).itemsize
+        raw = col.astype(kind, copy=False)[order].view(np.uint8)
+        for lo, hi in zip(edge.tolist(), ends.tolist()):
+            data[width * lo + before * (hi - lo) :][: size * (hi - lo)] = raw[size * lo : size * hi]
+        before += size
+    out = []
+    for i, j in slices(width * (ends - edge), BATCH_BYTES):
+        lo, hi = int(edge[i]), int(ends[j - 1])
+        bounds = (width * (np.append(edge[i:j], hi) - lo)).astype(np.int32)
+        x = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bounds), pa.py_buffer(data[width * lo : width * hi])])
+        out.append(pa.RecordBatch.from_arrays([pa.array(own[i:j], pa.int32()), pa.array([blk] * (j - i), pa.int32()), x], ["own", "blk", "x"]))
+    return pa.Table.from_batches(out, pa.schema([("own", pa.int32()), ("blk", pa.int32()), ("x", pa.binary())]))
+
+
 def _ask_order(cuts: np.ndarray, min_words: int, top: bool):
     def run(block: pa.Table, ranked: pa.Table) -> pa.Table:
         lens, syms = _arr(block["lens"][0], np.int32), _arr(block["syms"][0], np.int64)
         at, _, left = _sampled(lens)
         r = np.full(len(syms), -1, np.int64)
         r[at] = _arr(ranked["syms"][0], np.int64)
-        p, _ = _within(lens)
-        cls = p % 3
-        t = (syms, _next(syms, left, 1), _next(syms, left, 2))
-        r1, r2 = _next(r, left, 1), _next(r, left, 2)
-        a, b = np.where(cls == 0, r1, r), np.where(cls == 1, r1, r2)
-        to = _route(t, cuts)
-        cols = [cls.astype(np.int8), np.arange(len(syms), dtype=np.int32), t[0], t[1], a, b]
-        if top:
-            h, size, power = syms.astype(np.uint64), 1, M1
-            total, done = None, 0
-            for bit in bin(min_words)[:1:-1]:  # prefixes of min_words symbols from powers of two
-                if bit == "1":
-                    total = h if total is None else total * power + np.roll(h, -done)
-                    done += size
-                h, size, power = h * power + np.roll(h, -size), 2 * size, np.uint64(int(power) ** 2 % 2**64)
-            whole = left >= min_words - 1
-            ords = np.repeat(_arr(block["ords"][0], np.int64), lens)
-            keys = np.repeat(np.frombuffer(block["keys"][0].as_py(), np.int64)[::2], lens)
-            places = np.repeat(_arr(block["starts"][0], np.int32), lens) + p.astype(np.int32)
-            cols += [mix(total).view(np.int64), whole.astype(np.int8), ords, keys, places]
-        order = np.argsort(to, kind="stable")
-        edge = np.flatnonzero(np.diff(to[order], prepend=-1))
-        own, parts = [], []
-        for lo, hi in zip(edge, [*edge[1:], len(order)]):
-            own.append(int(to[order[lo]]))
-            parts.append(b"".join(c[order[lo:hi]].tobytes() for c in cols))
-        blk = block["blk"][0].as_py()
-        return pa.table({"own": pa.array(own, pa.int32()), "blk": pa.array([blk] * len(own), pa.int32()), "x": pa.array(parts, pa.binary())})
+        place = _within(lens)[0].astype(np.int32)
+        cls = (place % 3).astype(np.int8)
+
+        def cols():
+            yield cls
+            yield np.arange(len(syms), dtype=np.int32)
+            yield syms
+            yield _next(syms, left, 1)
+            yield np.where(cls == 0, _next(r, left, 1), r)
+            yield np.where(cls == 1, _next(r, left, 1), _next(r, left, 2))
+            if top:
+                yield _prefixes(syms, min_words)
+                yield left >= min_words - 1
+                yield np.repeat(_arr(block["ords"][0], np.int64), lens)
+                yield np.repeat(np.frombuffer(block["keys"][0].as_py(), np.int64)[::2], lens)
+                yield np.repeat(_arr(block["starts"][0], np.int32), lens) + place
+
+        to = _route((syms, _next(syms, left, 1), _next(syms, left, 2)), cuts)
+        return _parcels(block["blk"][0].as_py(), to, _MERGE + _TOP * top, cols())
 
     return run
 
@@ -311,17 +338,13 @@ _MERGE = [np.int8, np.int32, np.int64, np.int64, np.int64, np.int64]
 _TOP = [np.int64, np.int8, np.int64, np.int64, np.int32]
 
 
-def _unpack(t: pa.Table, types: list) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns of all parts, and each entry's part."""
-    each, width = [], sum(np.dtype(d).itemsize for d in types)
-    for x in t["x"]:
-        raw, cols, off = x.as_buffer(), [], 0
-        n = raw.size // width
-        for d in types:
-            cols.append(np.frombuffer(raw, d, n, off))
-            off += n * np.dtype(d).itemsize
-        each.append(cols)
-    return [np.concatenate([e[k] for e in each]) for k in range(len(types))], np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
+def _unpack(t: pa.Table, types: list, want: tuple | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all parts, or those wanted, and each entry's part."""
+    sizes = [np.dtype(d).itemsize for d in types]
+    raw = [x.as_buffer() for x in t["x"]]
+    n = [x.size // sum(sizes) for x in raw]
+    cols = range(len(types)) if want is None else want
+    return [np.concatenate([np.frombuffer(x, types[k], m, m * sum(sizes[:k])) for x, m in zip(raw, n)]) for k in cols], np.repeat(np.arange(len(n)), n)
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
@@ -405,8 +428,9 @@ def suffix_order(blocks: DataFrame, scratch: Scratch, n_blocks: int, min_words:
 
 def _repeats(t: pa.Table) -> pa.Table:
     """Neighbours in suffix order with equal prefixes, and which of each group occurs first."""
-    (cls, idx, t0, t1, a, b, h, whole, ords, keys, places), part = _unpack(t, _MERGE + _TOP)
-    order = np.argsort(merged(cls, t0, t1, a, b), kind="stable")
+    columns = lambda *k: _unpack(t, _MERGE + _TOP, k)[0]  # noqa: E731 - no more of them at a time than a step needs
+    order = np.argsort(merged(*columns(0, 2, 3, 4, 5)), kind="stable")
+    h, whole = columns(6, 7)
     order = order[whole[order] == 1]
     if not len(order):
         return pa.table({"blk": pa.array([], pa.int32()), "x": pa.array([], pa.binary())})
@@ -415,6 +439,8 @@ def _repeats(t: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     several = np.bincount(group)[group] > 1
     order, group = order[several], group[several]
+    del h, hs, whole, new, several
+    (idx, ords, keys, places), part = _unpack(t, _MERGE + _TOP, (1, 8, 9, 10))
     o = order[np.lexsort((places[order], keys[order], ords[order], group))]
     g = np.repeat(np.arange(len(np.unique(group))), np.unique(group, return_counts=True)[1])
     lead = np.flatnonzero(np.diff(g, prepend=-1))
@@ -603,6 +629,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     def cut(t: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series(_cut_texts(t, s), dtype=object)
 
-    changed = have.where("cuts is not null").withColumn("new", cut("t", "cuts")).where(F.trim("new") != "")
+    # not deterministic by name only: else the filter gets a second call, and each task a second Python worker
+    changed = have.where("cuts is not null").withColumn("new", cut.asNondeterministic()("t", "cuts")).where(F.trim("new") != "")
     changed = changed.select(*[(F.col("new") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
     return changed.unionByName(have.where("cuts is null").select("row.*")).unionByName(rows.where("key is null").select("row.*"))

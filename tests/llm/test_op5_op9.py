@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,53 @@ def test_a_block_asks_all_owners_in_one_batch():
     assert sum(len(x) for x in out[0].column("t").to_pylist()) == 600 * 24
 
 
+def test_order_is_asked_for_in_small_batches_and_little_memory():
+    r, n, k = np.random.default_rng(1), 90_000, 50
+    lens, syms = np.full(900, 100, np.int32), r.integers(0, 1 << 60, n)
+    syms[:50_000:7] = 5  # a frequent symbol
+    at, _, left = s._sampled(lens)
+    meta = {"ords": r.integers(0, 9, 900), "keys": r.integers(0, 99, 1800), "starts": np.arange(900, dtype=np.int32)}
+    block = pa.table({"blk": pa.array([3], pa.int32()), "lens": [lens.tobytes()], "syms": [syms.tobytes()]} | {c: [x.tobytes()] for c, x in meta.items()})
+    ranked = pa.table({"syms": [r.permutation(len(at)).tobytes()]})
+    cuts = np.stack([np.sort(syms[: n : n // 9])] * 3, 1)
+    tracemalloc.start()
+    out = s._ask_order(cuts, k, True)(block, ranked)
+    most, kinds = tracemalloc.get_traced_memory()[1], s._MERGE + s._TOP
+    tracemalloc.stop()
+    width = sum(np.dtype(d).itemsize for d in kinds)
+    rows = [len(x) for x in out["x"].to_pylist()]
+    assert sum(rows) == n * width and set(out["blk"].to_pylist()) == {3} and len(set(out["own"].to_pylist())) == len(rows) > 5
+    assert all(b.num_rows == 1 or sum(len(x) for x in b["x"].to_pylist()) <= 1 << 20 for b in out.to_batches())
+    assert most < 2.5 * n * width
+    (cls, idx, t0, t1, a, b, h, whole, ords, keys, places), part = s._unpack(out, kinds)
+    assert sorted(idx.tolist()) == list(range(n)) and (t0 == syms[idx]).all() and (cls == idx % 100 % 3).all()
+    own = np.array(out["own"].to_pylist())[part]
+    assert (own == s._route(tuple(x[idx] for x in (syms, s._next(syms, left, 1), s._next(syms, left, 2))), cuts)).all()
+    assert (t1 == s._next(syms, left, 1)[idx]).all() and (whole == (left >= k - 1)[idx]).all()
+    rank = np.full(n + 2, -1)
+    rank[at] = _int64(ranked)
+    follow = lambda i, by: np.where(left[i] >= by, rank[i + by], -1)
+    assert (a == np.where(cls == 0, follow(idx, 1), rank[idx])).all()
+    assert (b == np.where(cls == 1, follow(idx, 1), follow(idx, 2))).all()
+    assert (ords == meta["ords"][idx // 100]).all() and (keys == meta["keys"][::2][idx // 100]).all() and (places == idx // 100 + idx % 100).all()
+    here = np.argsort(idx)
+    power = [pow(int(s.M1), k - 1 - j, 1 << 64) for j in range(k)]
+    for i in (0, 17, 45_050):
+        x = sum(int(c) * p for c, p in zip(syms[i : i + k], power)) % 2**64
+        assert whole[here[i]] == (i % 100 <= 50) and (not whole[here[i]] or h[here[i]] == s.mix(np.array([x], np.uint64)).view(np.int64)[0])
+
+
+def _int64(t):
+    return np.frombuffer(t["syms"][0].as_py(), np.int64)
+
+
+def test_texts_are_cut_by_one_call(spark):
+    df = spark.createDataFrame([(i, words(5, 60) + " " + words(300 + i, 30)) for i in range(3)], "doc_id bigint, text string")
+    out = s.cut_repeats(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [len(t.split()) for _, t in sorted(map(tuple, out.collect()))] == [90, 30, 30]
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
