@@ -50,3 +50,7 @@ def test_numbering_finds_repeats(spark, monkeypatch):
     monkeypatch.setattr(G.F, "xxhash64", lambda salt, c: hash_(salt, c) if "-" in str(salt) or "(1)" in str(salt._jc.toString()) or str(salt._jc.toString()) == "1" else F.lit(5).cast("bigint"))
     number = G.numbering(spark.createDataFrame([("a",), ("b",)], "name string"))
     assert spark.range(1).select(number(F.lit("a")).alias("n")).first().n != 5
+
+def test_diff_impact_does_not_shuffle_what_was_reached(spark):
+    f = lines(spark, 150, 14)
+    assert moved(spark, lambda: G.diff_impact(f, f.types.select("path")).collect()) < 1_500_000  # 3.5 MB before
