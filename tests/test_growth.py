@@ -54,3 +54,13 @@ def test_numbering_finds_repeats(spark, monkeypatch):
 def test_diff_impact_does_not_shuffle_what_was_reached(spark):
     f = lines(spark, 150, 14)
     assert moved(spark, lambda: G.diff_impact(f, f.types.select("path")).collect()) < 1_500_000  # 3.5 MB before
+
+def test_call_chains_shuffle_paths_once_a_level(spark):
+    f = lines(spark, 150, 14)
+    assert moved(spark, lambda: G.call_chains(f, f.methods).collect()) < 500_000  # 3.5 MB before
+
+
+def test_chains_with_more_callers_than_fit_an_array(spark):
+    f = facts(spark, edges=[edge(f"C{i}.m", "T.t") for i in range(30)] + [edge("T.t", f"C{i}.m") for i in range(30)], methods=methods("T.t", "C3.m"))
+    got = {tuple(r) for r in G.call_chains(f, f.methods, max_depth=4).collect()}
+    assert got == {("T.t", f"C{i}.m -> T.t", 1) for i in range(30)} | {("C3.m", f"C{i}.m -> T.t -> C3.m", 2) for i in range(30) if i != 3}
