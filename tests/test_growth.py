@@ -64,3 +64,26 @@ def test_chains_with_more_callers_than_fit_an_array(spark):
     f = facts(spark, edges=[edge(f"C{i}.m", "T.t") for i in range(30)] + [edge("T.t", f"C{i}.m") for i in range(30)], methods=methods("T.t", "C3.m"))
     got = {tuple(r) for r in G.call_chains(f, f.methods, max_depth=4).collect()}
     assert got == {("T.t", f"C{i}.m -> T.t", 1) for i in range(30)} | {("C3.m", f"C{i}.m -> T.t -> C3.m", 2) for i in range(30) if i != 3}
+
+def test_similar_types_of_one_interface_are_shared_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 20, raising=False)
+    names = [f"T{i}" for i in range(120)]
+    f = facts(spark, methods=[(c, f"m{c}", 0, "void", "", True, "", 1, 2) for c in names], implements=[(c, "Hot") for c in names])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = T.similar(f).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.a, r.b) for r in rows} == {(a, b) for a in names for b in names if a < b} and {r.score for r in rows} == {30}
+    assert len(rows) == 120 * 119 // 2 and len({r.p for r in rows}) > 1
+
+
+def test_blocks_against_one_block(spark, monkeypatch):
+    r = __import__("random").Random(2)
+    of = {f"T{i}": r.sample([f"m{k}" for k in range(12)], r.randrange(1, 6)) for i in range(40)}
+    ins = [(c, x) for c in of for x in r.sample(["A", "B", "C", "D"], r.randrange(1, 4))]
+    f = facts(spark, methods=[(c, m, 0, "void", "", True, "", 1, 2) for c, ms in of.items() for m in ms], implements=ins)
+    want = sorted(map(tuple, T.similar(f, 0.2).collect()))
+    monkeypatch.setattr(T, "BLOCK", 3)
+    monkeypatch.setattr(T, "AT_ONCE", 5)
+    assert want and sorted(map(tuple, T.similar(f, 0.2).collect())) == want
