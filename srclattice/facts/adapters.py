@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .model import Facts
 
+#: Sources that one task makes, at most.
+SOURCES = 5_000
 _VERB = {0: "get", 1: "set", 2: "find", 3: "save", 4: "delete", 5: "is"}
 _VERB_SQL = "case " + " ".join(f"when {{0}} % 6 = {k} then '{v}'" for k, v in _VERB.items()) + " end"
 _NOTE = {"1-URGENT": "GetMapping", "2-HIGH": "PostMapping", "3-MEDIUM": "Scheduled", "4-NOT SPECIFIED": "Autowired", "5-LOW": "Deprecated"}
@@ -79,8 +81,13 @@ imports as (select distinct caller_class as class, qualified as import from edge
 
 
 def java_sources(spark: SparkSession, sf_dir: str):
-    """(path, content): a Java source for each part, whose contents follow from the part's columns."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"), F.lower(F.replace("p_type", F.lit(" "), F.lit(""))).alias("t"))
+    """(path, content): a Java source for each part, whose contents follow from the part's columns.
+
+    The parts of many sources fit one split of a file, so they are dealt out first: no task makes, and parses, more than a few thousand.
+    """
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = p.repartition(max(spark.sparkContext.defaultParallelism, -(-p.count() // SOURCES)))
+    p = p.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"), F.lower(F.replace("p_type", F.lit(" "), F.lit(""))).alias("t"))
     k, z = F.col("k").cast("string"), F.col("z")
     when = lambda c, s: F.when(c, s).otherwise(F.lit(""))
     up = F.concat(F.lit(" extends P"), F.floor(F.col("k") / 10).cast("string"))

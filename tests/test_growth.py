@@ -87,3 +87,8 @@ def test_blocks_against_one_block(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 3)
     monkeypatch.setattr(T, "AT_ONCE", 5)
     assert want and sorted(map(tuple, T.similar(f, 0.2).collect())) == want
+
+def test_no_task_parses_all_sources(spark, monkeypatch):
+    monkeypatch.setattr(A, "SOURCES", 10, raising=False)
+    sizes = [r.n for r in B.parsed(A.java_sources(spark, SF)).select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 20
