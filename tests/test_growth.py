@@ -92,3 +92,8 @@ def test_no_task_parses_all_sources(spark, monkeypatch):
     monkeypatch.setattr(A, "SOURCES", 10, raising=False)
     sizes = [r.n for r in B.parsed(A.java_sources(spark, SF)).select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 200 and max(sizes) <= 20
+
+def test_steps_of_receivers_are_taken_once(spark):
+    p = B.parsed(A.java_sources(spark, SF))
+    assert exchanges(B.facts(p).edges).count("callee") <= 1
+    assert str(B.facts(p).edges._jdf.queryExecution().optimizedPlan()).count("Join") <= 2
