@@ -30,35 +30,36 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Facts:
         F.lit(1).alias("start_line"), (F.col("p_size") + 1).cast("int").alias("end_line"),
     )
     item = t("lineitem")
-    verb = F.coalesce(*[F.when(F.col("l_suppkey") % 6 == k, v) for k, v in _VERB.items()])
-    name = F.concat(verb, F.lit("S"), F.col("l_suppkey").cast("string"))
+    # what must be distinct or meet is so by numbers; names are made of them at the end. A lookup in an array is code
+    # small enough for the JVM to compile, which a chain of conditions for each name is not
+    name = lambda c: F.concat(F.get(F.array(*map(F.lit, _VERB.values())), (F.col(c) % 6).cast("int")), F.lit("S"), F.col(c).cast("string"))
+    named = lambda c: F.when(c % 6 >= 0, c)  # noqa: E731 - NULL where the name is
+    result = F.when(F.col("l_suppkey") % 6 == 1, "void").otherwise(P(F.col("l_suppkey")))
     start = F.min("l_linenumber").cast("int") * 3
     methods = (
         item.groupBy("l_partkey", "l_suppkey")
         .agg(F.min("l_linenumber").cast("int").alias("params"), start.alias("start_line"), (start + F.max("l_quantity").cast("int")).alias("end_line"))
         .select(
-            P(F.col("l_partkey")).alias("class"), name.alias("name"), "params", F.when(F.col("l_suppkey") % 6 == 1, "void").otherwise(P(F.col("l_suppkey"))).alias("return_type"),
-            F.concat(F.lit("public "), F.when(F.col("l_suppkey") % 6 == 1, "void").otherwise(P(F.col("l_suppkey"))), F.lit(" "), name, F.lit("()")).alias("signature"),
+            P(F.col("l_partkey")).alias("class"), name("l_suppkey").alias("name"), "params", result.alias("return_type"), F.concat(F.lit("public "), result, F.lit(" "), name("l_suppkey"), F.lit("()")).alias("signature"),
             (F.col("l_suppkey") % 4 != 0).alias("is_public"), F.concat(F.lit("src/"), P(F.col("l_partkey")), F.lit(".java")).alias("path"), "start_line", "end_line",
         )
     )
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    nxt = lambda c: F.lead(c).over(order)
-    calls = item.select(
-        P(F.col("l_partkey")).alias("caller_class"), name.alias("caller"), F.lit(-1).alias("caller_params"), P(nxt("l_partkey")).alias("callee_class"), nxt(name).alias("callee"), F.lit(-1).alias("callee_params"), F.row_number().over(order).alias("line")
-    )
-    edges = calls.where("callee_class is not null").distinct()
-    nations = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    fields = item.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).select(P(F.col("l_partkey")).alias("class"), F.lower("n_name").alias("name"), P(F.col("l_suppkey") * 3).alias("type")).distinct()
+    calls = item.select("l_partkey", "l_suppkey", F.lead("l_partkey").over(order).alias("to_part"), F.lead("l_suppkey").over(order).alias("to_supp"), F.row_number().over(order).alias("line")).where("to_part is not null")
+    edges = calls.select("l_partkey", named(F.col("l_suppkey")).alias("l_suppkey"), "to_part", named(F.col("to_supp")).alias("to_supp"), "line").distinct()
+    edges = edges.select(P(F.col("l_partkey")).alias("caller_class"), name("l_suppkey").alias("caller"), F.lit(-1).alias("caller_params"), P(F.col("to_part")).alias("callee_class"), name("to_supp").alias("callee"), F.lit(-1).alias("callee_params"), "line")
+    nations = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.lower("n_name").alias("name")).distinct()
+    fields = item.select("l_partkey", "l_suppkey").distinct().join(nations, F.col("l_suppkey") == F.col("s_suppkey")).select(P(F.col("l_partkey")).alias("class"), "name", P(F.col("l_suppkey") * 3).alias("type"))
     implements = part.select(P(key).alias("class"), P((key * 7) % 1000).alias("interface")).where("class != interface")
     note = F.create_map(*[F.lit(x) for kv in _NOTE.items() for x in kv])[F.col("o_orderpriority")]
-    touched = item.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    annotations = (
-        touched.where("l_suppkey % 3 = 0").select(P(F.col("l_partkey")).alias("class"), name.alias("method"), note.alias("name"), F.concat(F.lit("/"), F.lower("o_orderstatus")).alias("value")).distinct()
-    )
+    orders = t("orders").select("o_orderkey", note.alias("note"), F.concat(F.lit("/"), F.lower("o_orderstatus")).alias("value"))
+    touched = item.where("l_suppkey % 3 = 0").select("l_orderkey", "l_partkey", named(F.col("l_suppkey")).alias("l_suppkey"))
+    touched = touched.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "l_suppkey", "note", "value").distinct()
+    annotations = touched.select(P(F.col("l_partkey")).alias("class"), name("l_suppkey").alias("method"), F.col("note").alias("name"), "value")
     annotations = annotations.unionByName(part.where("p_size % 5 = 0").select(P(key).alias("class"), F.lit(None).cast("string").alias("method"), F.lit("Service").alias("name"), F.lit("").alias("value")))
-    other = types.select(F.col("name").alias("callee_class"), F.col("qualified").alias("import"))
-    imports = edges.where("caller_class != callee_class").select("caller_class", "callee_class").distinct().join(other, "callee_class").select(F.col("caller_class").alias("class"), "import")
+    # one exchange, by the type that is called, serves for distinct pairs and for the join
+    used = calls.where("l_partkey != to_part").select("l_partkey", "to_part").repartition("to_part").distinct()
+    imports = used.join(part.select(F.col("p_partkey").alias("to_part"), F.concat(package, F.lit("."), P(key)).alias("import")), "to_part").select(P(F.col("l_partkey")).alias("class"), "import")
     return Facts(types, methods, fields, edges, implements, annotations, imports)
 
 

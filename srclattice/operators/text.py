@@ -350,9 +350,10 @@ def style(f: Facts) -> DataFrame:
 
 def snippet_pick(f: Facts, suffix_: str, annotation: str) -> DataFrame:
     """The class to imitate: with the annotation first, then by outside callers, then by methods."""
-    a = f.annotations.where((F.col("name") == annotation) & F.col("method").isNull()).select("class").distinct().withColumn("has", F.lit(1))
-    e = f.edges.where("caller_class != callee_class").groupBy(F.col("callee_class").alias("class")).agg(F.countDistinct("caller_class").alias("callers"))
-    m = f.methods.groupBy("class").agg(F.count("*").alias("methods"))
+    of = F.col("class").endswith(suffix_)
+    a = f.annotations.where(of & (F.col("name") == annotation) & F.col("method").isNull()).select("class").distinct().withColumn("has", F.lit(1))
+    e = f.edges.where("caller_class != callee_class").select(F.col("callee_class").alias("class"), "caller_class").where(of).repartition("class").distinct().groupBy("class").agg(F.count("caller_class").alias("callers"))
+    m = f.methods.where(of).groupBy("class").agg(F.count("*").alias("methods"))
     t = f.types.where(F.col("name").endswith(suffix_)).select(F.col("name").alias("class"))
     for x in (a, e, m):
         t = t.join(x, "class", "left")

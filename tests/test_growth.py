@@ -97,3 +97,8 @@ def test_steps_of_receivers_are_taken_once(spark):
     p = B.parsed(A.java_sources(spark, SF))
     assert exchanges(B.facts(p).edges).count("callee") <= 1
     assert str(B.facts(p).edges._jdf.queryExecution().optimizedPlan()).count("Join") <= 2
+
+def test_facts_are_distinct_by_numbers(spark):
+    f = A.from_tables(spark, SF)
+    assert exchanges(f.annotations) == ["l_partkey, l_suppkey, note, value"]
+    assert not any("class" in x for x in exchanges(f.edges) + exchanges(f.fields))
