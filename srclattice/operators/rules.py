@@ -112,24 +112,36 @@ def verify(f: Facts, spec: DataFrame) -> DataFrame:
     exception or annotation that a method lacks. Of overloads, the one with the specification's parameters counts, else one with
     as many, else the first. Annotations are facts by name, so for them all overloads are one method.
     """
-    have = f.methods.select("class", "name").distinct()
-    want = spec.select("class", "name").distinct()
-    gone = want.join(have, ["class", "name"], "left_anti").withColumn("problem", F.lit("missing_method"))
-    extra = have.join(want.select("class").distinct(), "class", "left_semi").join(want, ["class", "name"], "left_anti").withColumn("problem", F.lit("undocumented_method"))
-    found = gone.unionByName(extra)
-    if not {"signature", "throws", "annotations"} <= set(spec.columns):
-        return found
-    asked = spec.select("class", "name", F.coalesce("signature", F.lit("")).alias("signature"), "throws", "annotations").distinct()
-    text, n = _shape(F.col("signature"))
-    has_text, has_n = _shape(F.col("has"))
-    thrown = F.regexp_extract("has", r"\) throws (.*)$", 1)
-    of = asked.withColumns({"text": text, "n": n}).join(f.methods.select("class", "name", F.col("signature").alias("has"), "start_line"), ["class", "name"])
-    best = of.groupBy("class", "name", "signature", "throws").agg(F.min_by("has", F.struct(has_text != F.col("text"), has_n != F.col("n"), "start_line", "has")).alias("has"))
-    lacks = best.select("class", "name", F.explode(F.array_except("throws", F.split(thrown, ", "))).alias("expected")).distinct().withColumn("problem", F.lit("missing_throws"))
-    notes = asked.join(have, ["class", "name"], "left_semi").select("class", "name", F.explode("annotations").alias("expected")).distinct()
-    on = f.annotations.select("class", F.col("method").alias("name"), F.col("name").alias("expected"))
-    bare = notes.join(on, ["class", "name", "expected"], "left_anti").withColumn("problem", F.lit("missing_annotation"))
-    return found.withColumn("expected", F.lit(None).cast("string")).unionByName(lacks).unionByName(bare)
+    detailed = {"signature", "throws", "annotations"} <= set(spec.columns)
+    if not detailed:
+        have = f.methods.select("class", "name").distinct()
+        want = spec.select("class", "name").distinct()
+        gone = want.join(have, ["class", "name"], "left_anti").withColumn("problem", F.lit("missing_method"))
+        extra = have.join(want.select("class").distinct(), "class", "left_semi").join(want, ["class", "name"], "left_anti").withColumn("problem", F.lit("undocumented_method"))
+        return gone.unionByName(extra)
+    # the code, the specification and the annotations of a method meet in one row: each is shuffled once
+    by = ["class", "name"]
+    code = f.methods.groupBy(*by).agg(F.collect_list(F.struct("start_line", F.col("signature").alias("has"))).alias("code"))
+    asked = spec.select(*by, F.struct(F.coalesce("signature", F.lit("")).alias("signature"), "throws", "annotations").alias("s")).groupBy(*by).agg(F.collect_set("s").alias("specs"))
+    on = f.annotations.where("method is not null").select("class", F.col("method").alias("name"), F.col("name").alias("on")).groupBy(*by).agg(F.collect_set("on").alias("on"))
+    met = asked.join(on, by, "left").join(code, by, "full")
+    none = F.array().cast("array<string>")
+    lacking = lambda s, has: F.coalesce(F.array_except(s["throws"], F.split(F.regexp_extract(has, r"\) throws (.*)$", 1), ", ")), none)
+
+    def best(s):
+        text, n = _shape(s["signature"])
+        rated = F.transform("code", lambda c: F.struct((_shape(c["has"])[0] != text).alias("t"), (_shape(c["has"])[1] != n).alias("n"), c["start_line"].alias("l"), c["has"].alias("has")))
+        return F.array_min(rated)["has"]
+
+    single = (F.size("specs") == 1) & (F.size("code") == 1)
+    throws = F.when(single, lacking(F.get("specs", F.lit(0)), F.get("code", F.lit(0))["has"])).otherwise(F.flatten(F.transform("specs", lambda s: lacking(s, best(s)))))
+    notes = F.array_except(F.flatten(F.transform("specs", lambda s: F.coalesce(s["annotations"], none))), F.coalesce("on", none))
+    problem = lambda what, xs: F.transform(xs, lambda x: F.struct(F.lit(what).alias("problem"), x.alias("expected")))
+    gone = problem("missing_method", F.array(F.lit(None).cast("string")))
+    of = F.when(F.col("code").isNull(), gone).otherwise(F.concat(problem("missing_throws", F.array_distinct(throws)), problem("missing_annotation", notes)))
+    found = met.where("specs is not null").select(*by, F.explode(of).alias("x")).select(*by, "x.problem", "x.expected")
+    extra = met.where("specs is null").select(*by).join(spec.select("class").distinct(), "class", "left_semi")
+    return found.unionByName(extra.select(*by, F.lit("undocumented_method").alias("problem"), F.lit(None).cast("string").alias("expected")))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -102,3 +102,7 @@ def test_facts_are_distinct_by_numbers(spark):
     f = A.from_tables(spark, SF)
     assert exchanges(f.annotations) == ["l_partkey, l_suppkey, note, value"]
     assert not any("class" in x for x in exchanges(f.edges) + exchanges(f.fields))
+
+def test_verify_shuffles_each_side_once(spark):
+    f = A.from_tables(spark, SF)
+    assert len(exchanges(R.verify(catalog._throwing(f), catalog._strict_spec(f)))) <= 8  # 14 before
