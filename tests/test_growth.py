@@ -106,3 +106,6 @@ def test_facts_are_distinct_by_numbers(spark):
 def test_verify_shuffles_each_side_once(spark):
     f = A.from_tables(spark, SF)
     assert len(exchanges(R.verify(catalog._throwing(f), catalog._strict_spec(f)))) <= 8  # 14 before
+
+def test_overridden_does_not_shuffle_by_method(spark):
+    assert "class, name" not in exchanges(G.overridden(A.from_tables(spark, SF)))
