@@ -109,3 +109,7 @@ def test_verify_shuffles_each_side_once(spark):
 
 def test_overridden_does_not_shuffle_by_method(spark):
     assert "class, name" not in exchanges(G.overridden(A.from_tables(spark, SF)))
+
+def test_tests_for_does_not_shuffle_by_target_and_test(spark):
+    f = lines(spark, 3, 3)
+    assert not any("target" in x for x in exchanges(G.tests_for(f, f.methods)))
