@@ -62,13 +62,15 @@ def summary(f: Facts, top: int = 20) -> DataFrame:
 def mini(f: Facts, fields: int = 3, deps: int = 5, methods: int = 5) -> DataFrame:
     """A type in one row: how many members, the signatures that most others call (then the longest), first fields, first types it calls, callers from other types."""
     out = f.edges.where("caller_class != callee_class")
-    by = out.groupBy(F.col("callee_class").alias("c")).agg(F.countDistinct("caller_class").alias("called_by"))
+    by = out.select(F.col("callee_class").alias("c"), "caller_class").repartition("c").distinct().groupBy("c").agg(F.count("caller_class").alias("called_by"))
     uses = out.groupBy(F.col("caller_class").alias("c")).agg(F.array_join(F.slice(F.sort_array(F.collect_set("callee_class")), 1, deps), ",").alias("deps"))
     fld = f.fields.groupBy(F.col("class").alias("c")).agg(F.array_join(F.slice(F.sort_array(F.collect_set(F.concat("name", F.lit(":"), "type"))), 1, fields), ",").alias("fields"))
     cnt = f.methods.groupBy(F.col("class").alias("c")).agg(F.count("*").alias("methods"))
-    calls = f.edges.groupBy(F.col("callee_class").alias("class"), F.col("callee").alias("name")).agg(F.countDistinct("caller_class", "caller").alias("n"))
+    # calls are counted by class and come to the class's methods as one map, so methods are shuffled once
+    calls = f.edges.select(F.col("callee_class").alias("class"), F.col("callee").alias("name"), "caller_class", "caller").where("name is not null and caller_class is not null and caller is not null")
+    calls = calls.repartition("class").distinct().groupBy("class", "name").agg(F.count("*").alias("n")).groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("of"))
     order = Window.partitionBy("class").orderBy(F.desc("n"), F.desc(F.col("end_line") - F.col("start_line")), "name", "signature")
-    key = f.methods.join(calls, ["class", "name"], "left").fillna(0, ["n"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= methods)
+    key = f.methods.join(calls, "class", "left").withColumn("n", F.coalesce(F.col("of")[F.col("name")], F.lit(0))).drop("of").withColumn("r", F.row_number().over(order)).where(F.col("r") <= methods)
     key = key.groupBy(F.col("class").alias("c")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "signature"))), lambda x: x["signature"]), "; ").alias("key_methods"))
     t = f.types.select(F.col("name").alias("c"), "qualified")
     for x in (cnt, key, fld, uses, by):

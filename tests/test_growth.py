@@ -113,3 +113,7 @@ def test_overridden_does_not_shuffle_by_method(spark):
 def test_tests_for_does_not_shuffle_by_target_and_test(spark):
     f = lines(spark, 3, 3)
     assert not any("target" in x for x in exchanges(G.tests_for(f, f.methods)))
+
+def test_mini_counts_calls_in_one_exchange(spark):
+    x = exchanges(V.mini(A.from_tables(spark, SF)))
+    assert "callee_class, callee, caller_class, caller" not in x and "callee_class, callee" not in x
