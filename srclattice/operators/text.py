@@ -124,14 +124,15 @@ def scope(f: Facts, words: list[str], k: int = 15) -> DataFrame:
 
 def repo_map(f: Facts, budget: int = 2000, signatures: int = 3) -> DataFrame:
     """The most called types with their shortest signatures, as many as fit the token budget (at least one)."""
-    ext = f.edges.where("caller_class != callee_class").groupBy(F.col("callee_class").alias("class")).agg(F.countDistinct("caller_class").alias("callers"))
+    ext = f.edges.where("caller_class != callee_class").select(F.col("callee_class").alias("class"), "caller_class").repartition("class").distinct().groupBy("class").agg(F.count("caller_class").alias("callers"))
+    t = f.types.select(F.col("name").alias("class"), "package").join(ext, "class", "left").fillna(0, ["callers"])
+    # as each costs five tokens at least, no more than budget / 5 + 1 can fit: a top-k first, so that only its methods are asked for, then a running sum over few rows
+    t = Levels(f.types.sparkSession, "map").add(t.orderBy(F.desc("callers"), "class").limit(budget // 5 + 1))
     short = Window.partitionBy("class").orderBy(F.length("signature"), "signature")
-    m = f.methods.select("class", "signature").distinct().withColumn("r", F.row_number().over(short)).where(F.col("r") <= signatures)
+    m = f.methods.join(F.broadcast(t.select("class").distinct()), "class", "left_semi").select("class", "signature").distinct().withColumn("r", F.row_number().over(short)).where(F.col("r") <= signatures)
     m = m.groupBy("class").agg(F.sum(F.length("signature") + 5).alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "signature"))), lambda x: x["signature"]), "; ").alias("signatures"))
-    t = f.types.select(F.col("name").alias("class"), "package").join(ext, "class", "left").join(m, "class", "left").fillna(0, ["callers", "size"]).fillna("", ["signatures"])
+    t = t.join(m, "class", "left").fillna(0, ["size"]).fillna("", ["signatures"])
     t = t.withColumn("tokens", F.floor((20 + F.length("class") + F.length("package") + F.col("size")) / 4))
-    # as each costs five tokens at least, no more than budget / 5 + 1 can fit: a top-k, then a running sum over few rows
-    t = t.orderBy(F.desc("callers"), "class").limit(budget // 5 + 1)
     order = Window.orderBy(F.desc("callers"), "class")
     t = t.withColumn("r", F.row_number().over(order)).withColumn("used", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return t.where((F.col("used") <= budget) | (F.col("r") == 1)).select("class", "callers", "tokens", "signatures")

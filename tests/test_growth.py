@@ -117,3 +117,7 @@ def test_tests_for_does_not_shuffle_by_target_and_test(spark):
 def test_mini_counts_calls_in_one_exchange(spark):
     x = exchanges(V.mini(A.from_tables(spark, SF)))
     assert "callee_class, callee, caller_class, caller" not in x and "callee_class, callee" not in x
+
+def test_repo_map_asks_for_few_methods(spark):
+    x = exchanges(T.repo_map(A.from_tables(spark, SF)))
+    assert "l_orderkey" not in x and len(x) <= 3  # calls are not in the plan any more
