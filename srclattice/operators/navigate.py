@@ -117,7 +117,7 @@ def dependents(f: Facts) -> DataFrame:
     fld = f.fields.select(F.col("type").alias("target"), "class", F.lit(2).alias("o"))
     made = constructor_types(f).select(F.col("type").alias("target"), "class", F.lit(3).alias("o"))
     how = F.element_at(F.array(*map(F.lit, ("import", "field", "constructor"))), F.min("o"))
-    return imp.unionByName(fld).unionByName(made).where("target != class").groupBy("target", "class").agg(how.alias("how")).join(names, "target", "left_semi")
+    return imp.unionByName(fld).unionByName(made).where("target != class").repartition("target").groupBy("target", "class").agg(how.alias("how")).join(names, "target", "left_semi")
 
 
 def annotated(f: Facts, name: str) -> DataFrame:

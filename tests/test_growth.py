@@ -121,3 +121,6 @@ def test_mini_counts_calls_in_one_exchange(spark):
 def test_repo_map_asks_for_few_methods(spark):
     x = exchanges(T.repo_map(A.from_tables(spark, SF)))
     assert "l_orderkey" not in x and len(x) <= 3  # calls are not in the plan any more
+
+def test_dependents_are_grouped_where_names_meet(spark):
+    assert "target, class" not in exchanges(V.dependents(catalog._with_constructors(A.from_tables(spark, SF))))
