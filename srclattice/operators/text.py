@@ -292,10 +292,12 @@ def validate(f: Facts, asked: DataFrame, k: int = 5) -> DataFrame:
     names = known.select(F.col("name").alias("n2")).distinct()
     near = _near_names(there.where("not exists").select("name").distinct(), names).withColumn("score", score).where("score > 0")
     of_name = Window.partitionBy("n2").orderBy("c2")
-    few = known.toDF("c2", "n2").withColumn("r", F.row_number().over(of_name)).where(F.col("r") <= k)  # of one name no more can be among the best
+    near = Levels(known.sparkSession, "near").add(near)
+    few = known.toDF("c2", "n2").join(near.select("n2").distinct(), "n2", "left_semi").withColumn("r", F.row_number().over(of_name)).where(F.col("r") <= k)  # of one name no more can be among the best
     near = near.join(few, "n2").withColumn("suggestion", F.concat_ws(".", "c2", "n2"))
     order = Window.partitionBy("name").orderBy(F.desc("score"), "suggestion")
     near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("name", F.lit(False).alias("exists"), "rank", "suggestion", "score")
+    near = Levels(known.sparkSession, "best").add(near)  # where it is small, what is asked need not be shuffled by name
     return there.join(near, ["name", "exists"], "left").select("class", "name", "exists", "rank", "suggestion", "score")
 
 

@@ -124,3 +124,7 @@ def test_repo_map_asks_for_few_methods(spark):
 
 def test_dependents_are_grouped_where_names_meet(spark):
     assert "target, class" not in exchanges(V.dependents(catalog._with_constructors(A.from_tables(spark, SF))))
+
+def test_validate_does_not_shuffle_what_exists_by_name(spark):
+    f = lines(spark, 3, 3)
+    assert not any("exists" in x for x in exchanges(T.validate(f, f.methods.select("class", "name"))))
