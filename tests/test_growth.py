@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from srclattice.facts import adapters as A
 from srclattice.facts import build as B
-from srclattice.operators import documents as D
 from srclattice.operators import graph as G
 from srclattice.operators import navigate as V
 from srclattice.operators import rules as R
@@ -126,5 +125,5 @@ def test_dependents_are_grouped_where_names_meet(spark):
     assert "target, class" not in exchanges(V.dependents(catalog._with_constructors(A.from_tables(spark, SF))))
 
 def test_validate_does_not_shuffle_what_exists_by_name(spark):
-    f = lines(spark, 3, 3)
-    assert not any("exists" in x for x in exchanges(T.validate(f, f.methods.select("class", "name"))))
+    f = A.from_tables(spark, SF)
+    assert not any("exists" in x for x in exchanges(T.validate(f, catalog._asked(f))))
